@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from tidegauge.llm.fixity import OP4_SQL
+from tidegauge.llm.urls import OP2_SQL
+
 
 def _tables(spark, sf_dir, *names):
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
@@ -19,8 +22,16 @@ def _query(module, function, *tables):
 
 
 QUERIES = {
+    "op1_collision_search": _query("ann", "op1", "embeddings"),
+    "op2_url_filter": _query("urls", "op2", "pages"),
+    "op3_merge_dropout": _query("pieces", "op3", "documents"),
+    "op4_fixity_audit": _query("fixity", "op4", "pages"),
     "op5_suffix_dedup": _query("suffixes", "op5", "documents"),
+    "op6_simhash_copies": _query("simhash", "op6", "documents"),
     "op7_quality_rules": _query("rules", "op7", "documents", "labels"),
+    "op8_source_mix": _query("mixing", "op8", "documents"),
+    "op9_token_counts": _query("tokens", "op9", "documents"),
+    "op10_shards": _query("shards", "op10", "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL}

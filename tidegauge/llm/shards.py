@@ -28,7 +28,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
     """docs with size, text_crc32, shard and slot: the rows in one seeded random order, dealt to the shards in turn.
 
     First pass: a seeded hash of doc_id and text scatters rows uniformly to buckets, whose number follows the rows, so that
-    each is small; equal rows land in one bucket unless they come often, so a row's number among its equals takes part.
+    each is small however many texts are equal; rows without a doc_id are scattered by their place in the input instead.
     Second pass: each bucket is put in order, then shuffled by Fisher-Yates with keyed draws; no draw depends on tasks or
     partitions, so reruns and retries agree. The row after those of all buckets before it goes to the next shard in turn:
     the shards' counts differ by one at most (the law `rows`), and slots have no gaps. Null texts have size 1 and CRC 0;
@@ -36,7 +36,8 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
     """
     docs = docs.withColumns({"size": (F.octet_length(whole_text()) + 1).cast("long"), "text_crc32": F.crc32(whole_text().cast("binary"))})
     buckets = docs.count() // bucket_rows + 1
-    order = F.xxhash64("doc_id", whole_text(), F.lit(seed))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    order = F.xxhash64("doc_id", whole_text(), place, F.lit(seed))
     records = docs.withColumn("record_", F.struct(order.alias("order_"), *docs.columns))
     scattered = records.select(F.pmod(F.col("record_.order_"), F.lit(buckets)).alias("bucket_"), "record_")
     filled = scattered.groupBy("bucket_").agg(F.sort_array(F.collect_list("record_")).alias("records_"))
