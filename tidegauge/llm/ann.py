@@ -39,6 +39,7 @@ class Index:
         self.place = np.empty(order.shape, np.uint16)  # of each vector in each sorted array
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
         self.step = float(values.std()) or 1.0
+        self.level = 15
 
     def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
         """For each vector, in how many sorted arrays it lies in the query's window."""
@@ -51,7 +52,7 @@ class Index:
         """Positions and inner products of the vectors verified for the query.
 
         Level by level the windows widen by GROWTH, and with them the collisions grow; the first level at which enough
-        vectors reach the threshold is found by bisection. All vectors that reach it there are verified.
+        vectors reach the threshold is found by doubling steps, then bisection. All vectors that reach it there are verified.
         """
         n = len(self.ids)
         need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(4 * k, int(VERIFY * n)))
@@ -62,12 +63,17 @@ class Index:
             reach[level] = np.flatnonzero(self.collisions(centre, FIRST * self.step * GROWTH**level) >= need)
             return len(reach[level]) >= enough
 
-        low, high = -1, 15
+        # Queries of a block need much the same level, so the search for the first full one starts from the last query's.
+        low, high, step = -1, self.level, 1
         while not full(high):
-            low, high = high, 2 * high
+            low, high, step = high, high + step, 2 * step
+        while low < 0 < high and (below := max(0, high - step)) < high and full(below):
+            high, step = below, 2 * step
+        low = max([low, *(x for x in reach if len(reach[x]) < enough and x < high)])
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (low, middle) if full(middle) else (middle, high)
+        self.level = high
         found = reach[high]
         return found, np.einsum("ij,j->i", self.vectors[found], query)
 
