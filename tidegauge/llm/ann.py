@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import cut
 
 #: Projections, share of them in which a candidate must fall into the query's window, first half-width of a window and its
-#: growth, in standard deviations of the block's projections; share of a block to verify at least, beside 4 k.
-PROJECTIONS, COLLISIONS, FIRST, GROWTH, VERIFY, SEED = 64, 0.6, 0.4, 1.07, 0.4, 11
+#: growth, in standard deviations of the block's projections; share of a block to verify at least, and multiple of k.
+PROJECTIONS, COLLISIONS, FIRST, GROWTH, VERIFY, LEAST, SEED = 64, 0.6, 0.4, 1.07, 0.4, 32, 11
 #: Vectors of a block, queries of a query block.
 BLOCK, QUERIES = 8192, 512
 K, EVERY = 20, 20
@@ -55,7 +55,7 @@ class Index:
         vectors reach the threshold is found by doubling steps, then bisection. All vectors that reach it there are verified.
         """
         n = len(self.ids)
-        need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(4 * k, int(VERIFY * n)))
+        need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(LEAST * k, int(VERIFY * n)))
         centre = np.concatenate([query / np.linalg.norm(query) * self.length, [0.0]]) @ self.directions
         reach = {}
 
