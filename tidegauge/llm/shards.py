@@ -34,7 +34,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
     the shards' counts differ by one at most (the law `rows`), and slots have no gaps. Null texts have size 1 and CRC 0;
     empty tables give none. Columns of docs with clashing names give way.
     """
-    docs = docs.withColumns({"size": (F.octet_length(whole_text()) + 1).cast("long"), "text_crc32": F.crc32(whole_text().cast("binary"))})
+    docs = docs.drop("shard", "slot").withColumns({"size": (F.octet_length(whole_text()) + 1).cast("long"), "text_crc32": F.crc32(whole_text().cast("binary"))})
     buckets = docs.count() // bucket_rows + 1
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     order = F.xxhash64("doc_id", whole_text(), place, F.lit(seed))
