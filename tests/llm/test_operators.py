@@ -139,18 +139,18 @@ def test_suffix_dedup_equals_brute_force(documents, odd_documents, no_documents)
     assert suffixes.remove_repeats(no_documents).count() == 0
 
 
-def _fingerprint(text):
+def _fingerprint(text, k=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def _roots(rows):
+def _roots(rows, k=3, threshold=2):
     """The root of each fingerprint's component."""
-    prints = sorted({_fingerprint(t) for _, t in rows})
+    prints = sorted({_fingerprint(t, k) for _, t in rows})
     parent = {p: p for p in prints}
 
     def find(x):
@@ -160,47 +160,65 @@ def _roots(rows):
 
     for i, a in enumerate(prints):
         for b in prints[i + 1 :]:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= threshold:
                 parent[find(a)] = find(b)
     return {p: find(p) for p in prints}
 
 
-def _heads(rows):
+def _heads(rows, k=3, threshold=2):
     """The least doc_id of each component; two components can share it where a doc_id has several texts."""
-    roots, least = _roots(rows), {}
+    roots, least = _roots(rows, k, threshold), {}
     for i, t in rows:
-        root = roots[_fingerprint(t)]
+        root = roots[_fingerprint(t, k)]
         least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
     return least
 
 
-def _components(rows):
-    roots, least = _roots(rows), _heads(rows)
-    return Counter((i, f"{_fingerprint(t):016x}", least[roots[_fingerprint(t)]]) for i, t in rows)
+def _components(rows, k=3, threshold=2):
+    roots, least = _roots(rows, k, threshold), _heads(rows, k, threshold)
+    return Counter((i, f"{_fingerprint(t, k):016x}", least[roots[_fingerprint(t, k)]]) for i, t in rows)
 
 
 def test_simhash_equals_brute_force(documents, odd_documents, no_documents):
     for table in (documents, odd_documents):
         rows = [(r["doc_id"], r["text"]) for r in table.collect()]
         assert Counter(tuple(r) for r in simhash.op6(table).collect()) == _components(rows)
+        assert Counter(tuple(r) for r in simhash.near_duplicates(table, 5, 4).collect()) == _components(rows, 5, 4)
         kept = simhash.keep_first(table)
         assert kept.columns == table.columns
         assert Counter(r["doc_id"] for r in kept.collect()) == Counter(_heads(rows).values())
     assert simhash.op6(no_documents).count() == 0 and simhash.keep_first(no_documents).count() == 0
 
 
-def test_anchors_reach_all_within_two_bits():
+@pytest.mark.parametrize("pair", simhash.ALL_TABLES)
+def test_anchors_reach_all_within_two_bits_of_their_blocks(pair):
     rng = np.random.default_rng(1)
     x = rng.integers(-(2**63), 2**63, 300, dtype=np.int64)
-    flips = np.array([(1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (300, 2))], np.int64)
-    home, _, _ = simhash.anchors(x)
-    _, i, anchor = simhash.anchors(x ^ flips)
+    own = np.array([at + b for at, length in (simhash.BLOCKS[p] for p in pair) for b in range(length)], np.uint64)
+    flips = (np.uint64(1) << rng.choice(own, (300, 2))).view(np.int64)
+    other = x ^ flips[:, 0] ^ flips[:, 1]
+    home, _, _ = simhash.anchors(x, pair)
+    _, i, anchor = simhash.anchors(other, pair)
     reach = defaultdict(set)
     for k, a in zip(i, anchor, strict=True):
         reach[k].add(a)
     assert all(home[k] in reach[k] for k in range(300))
 
 
+def test_links_of_any_threshold_come_once(spark):
+    rng = np.random.default_rng(2)
+    heads = rng.integers(-(2**63), 2**63, 60, dtype=np.int64)
+    prints = {int(h) for h in heads}
+    for h in heads:
+        for n in range(1, 7):
+            prints.add(int(h ^ np.bitwise_xor.reduce((np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)).view(np.int64))))
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    for threshold in (1, 2, 3, 4):
+        want = Counter((a, b) for a in prints for b in prints if a < b and apart(a, b) <= threshold)
+        assert Counter((r["a"], r["b"]) for r in simhash.links(table, threshold).collect()) == want
+
+
 def _base(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
