@@ -108,6 +108,16 @@ def test_fixity_finds_each_kind(spark):
     assert kinds[17] == "missing" and kinds[40] == "changed" and kinds[900] == "extra" and set(kinds) - {17, 40, 900} == {i for i in kinds if i > 17 and kinds[i] == "moved"}
 
 
+def test_fixity_tells_changed_records_from_moved_ones(spark):
+    a = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(300)] + [(50, "again", "x")], "page_id long, url string, html string")
+    b = a.filter("page_id <> 17").withColumn("html", F.when(F.col("page_id").isin(40, 50), F.concat(F.lit("#"), F.substring("html", 2, 99))).otherwise(F.col("html")))
+    kinds = {r["page_id"]: r["kind"] for r in fixity.audit(a, b).collect()}
+    assert kinds == {17: "missing", 40: "changed", 50: "changed"} | {i: "moved" for i in range(18, 300) if i not in (40, 50)}
+    pages = spark.range(2400).selectExpr("id AS page_id", "concat('u', id) AS url", "'<p>' AS html")
+    rows = fixity.op4(pages).filter("kind = 'changed'").collect()
+    assert {r["page_id"] for r in rows} >= {i for i in range(2400) if i % 97 == 13 and i % 1999 != 1234}
+
+
 def _brute_removed(rows):
     """doc_id, text to (n_bytes, n_removed, n_spans, sha256), by a set of all windows of smaller ids."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))

@@ -23,10 +23,11 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def leaves(pages: DataFrame) -> DataFrame:
-    """idx, start, end, n, hash: a leaf for each page id, with its records' number and its byte range in its WARC file.
+    """idx, start, end, n, hash, digest: a leaf for each page id, with its records' number and its byte range in its WARC file.
 
-    A leaf's hash is that of its records' SHA-256 digests added up in lanes of 60 bits, so repeated ids, however many, are
-    summed before they are shuffled and in any order. Records without an id are leaf -1. Record bytes don't leave their task.
+    A leaf's digest is that of its records' SHA-256 digests added up in lanes of 60 bits, so repeated ids, however many, are
+    summed before they are shuffled and in any order; its hash covers the range too. Records without an id are leaf -1.
+    Record bytes don't leave their task.
     """
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     hashed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("idx"), F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("d"))
@@ -35,7 +36,8 @@ def leaves(pages: DataFrame) -> DataFrame:
     place = Window.partitionBy(F.shiftright("idx", FILE_BITS)).orderBy("idx")
     leaf = leaf.withColumn("end", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     leaf = leaf.withColumn("start", F.col("end") - F.col("size"))
-    return leaf.select("idx", "start", "end", "n", F.sha2(F.concat_ws("|", "idx", "start", "end", "n", "lanes"), 256).alias("hash"))
+    leaf = leaf.withColumn("digest", F.sha2(F.concat_ws("|", "n", "lanes"), 256))
+    return leaf.select("idx", "start", "end", "n", F.sha2(F.concat_ws("|", "idx", "start", "end", "n", "lanes"), 256).alias("hash"), "digest")
 
 
 def parents(level: DataFrame) -> DataFrame:
@@ -56,16 +58,16 @@ def tree(pages: DataFrame, levels: int) -> list[DataFrame]:
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Nodes that only one side has, or whose hash, and so whose range or content, differs."""
-    mine = a.select("idx", *(F.col(c).alias(f"{c}_a") for c in ("start", "end", "n", "hash")))
-    theirs = b.select("idx", *(F.col(c).alias(f"{c}_b") for c in ("start", "end", "n", "hash")))
+    mine = a.select("idx", *(F.col(c).alias(f"{c}_a") for c in a.columns if c != "idx"))
+    theirs = b.select("idx", *(F.col(c).alias(f"{c}_b") for c in b.columns if c != "idx"))
     return mine.join(theirs, "idx", "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """page_id, kind, n_a, n_b, start_a, end_a, start_b, end_b, hash_a, hash_b: the leaves at which two replicas of pages differ.
 
-    kind: missing (only primary has it), extra (only replica), changed (its records differ), moved (same length and number, its range
-    in the file starts elsewhere). The roots are compared first; below a node only the children of differing nodes
+    kind: missing (only primary has it), extra (only replica), changed (its records differ, wherever they are), moved (the very
+    same records, but their range in the file starts elsewhere). The roots are compared first; below a node only the children of differing nodes
     are read. Equal replicas, and empty ones, give no rows. Columns beside page_id, url and html take no part.
     """
     reach = [x.agg(F.max(F.abs("page_id"))).first()[0] or 0 for x in (primary, replica)]
@@ -76,7 +78,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         below = lambda level: level.join(bad.select(F.col("idx").alias("up")), F.shiftright(level["idx"], BITS) == F.col("up"), "left_semi")  # noqa: B023, E731
         found = cut(_differing(below(mine), below(theirs)))
         bad = found.select("idx")
-    moved = (F.col("n_a") == F.col("n_b")) & (F.col("end_a") - F.col("start_a") == F.col("end_b") - F.col("start_b")) & (F.col("start_a") != F.col("start_b"))
+    moved = (F.col("digest_a") == F.col("digest_b")) & (F.col("start_a") != F.col("start_b"))
     kind = F.when(F.col("n_b").isNull(), "missing").when(F.col("n_a").isNull(), "extra").when(moved, "moved").otherwise("changed")
     return found.select(F.col("idx").alias("page_id"), kind.alias("kind"), "n_a", "n_b", "start_a", "end_a", "start_b", "end_b", "hash_a", "hash_b")
 
