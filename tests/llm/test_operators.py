@@ -72,6 +72,16 @@ def test_url_rules_on_odd_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_bad_names_are_blocked_under_each_parent(spark, medium):
+    names = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    hosts = [f"{sub}{name}.example.{top}" for sub in ("", "www.") for name in names for top in ("com", "net", "org")]
+    table = spark.createDataFrame([(i, f"https://{h}/xx/") for i, h in enumerate([*hosts, "my-spam-farm.example.org", "example.org"])], "page_id long, url string")
+    assert [r["verdict"] for r in urls.judge(table).orderBy("page_id").collect()] == ["block"] * len(hosts) + ["allow"] * 2
+    pages = urls.op2(spark.read.parquet(f"{medium}/pages.parquet")).filter("rule is null").collect()
+    bad = {r["page_id"] for r in pages if set(r["host"].split(".")) & set(names)}
+    assert {r["page_id"] for r in pages if r["verdict"] == "block"} == bad and bad
+
+
 def test_pieces_decode_and_follow_the_library(spark, documents, odd_documents, no_documents):
     import sentencepiece
 

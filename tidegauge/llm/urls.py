@@ -11,11 +11,9 @@ from tidegauge.llm.common import ascii_lower, packed
 
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Hosts that the production list blocks, with all their subdomains.
-LISTED = (
-    "ads-track.example.com", "adult-x.example.com", "adult-x.example.net", "casino-win.example.com", "casino-win.example.net", "cheap-pills.example.com",
-    "cheap-pills.example.net", "free-bets.example.com", "free-bets.example.net", "spam-farm.example.com", "spam-farm.example.org",
-)
+#: Hosts that the production list blocks, with all their subdomains: each bad name under each parent domain of the corpus.
+BAD_NAMES, PARENTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{name}.{parent}" for name in BAD_NAMES for parent in PARENTS)
 #: A level of the cascade never takes more of the driver's memory than this; larger lists are refused.
 MAX_FILTER_BYTES = 64 << 20
 _WORD = 32
