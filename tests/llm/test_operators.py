@@ -51,6 +51,38 @@ def test_nearest_odd_vectors(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 60)]
+    query, near = [1.0, 0.5, 0.0, -0.5], [0.9, 0.5, 0.0, -0.5]
+    table = lambda more: spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+    ranked = lambda more: [tuple(r) for r in ann.nearest(table(more), every=100).orderBy("query_id", "rank").collect()]
+    once = ranked([(0, query)])
+    assert len(once) == 20 and ranked([(0, query)] * 20 + rows * 2) == once
+    # ids of several vectors: queries 0 and 100, candidate 7 with a thousand vectors about the query
+    other = [-1.0, 2.0, 0.0, 0.0]
+    more = [(0, query), (0, other), (100, other)] + [(7, [x + 1e-4 * i for x in near]) for i in range(1000)] + [(0, [1.0, 0.5, 0.0, -0.5 + 1e-4 * i]) for i in range(1000)]
+    vectors, want = defaultdict(list), []
+    for i, v in rows + more:
+        vectors[i].append(np.array(v))
+    for q in (0, 100):
+        scores = {i: float((np.array(vectors[q]) @ np.array(v).T).max()) for i, v in vectors.items() if i != q}
+        want += [(q, r, i) for r, (i, _) in enumerate(sorted(scores.items(), key=lambda x: -x[1])[:20], 1)]
+    assert [r[:3] for r in ranked(more)] == want
+
+
+def test_blocks_of_a_hot_id_and_of_many_vectors(spark):
+    hot = spark.range(3000).selectExpr("7L AS id", "array(cast(id AS double), 1D) AS v", "2 AS dim")
+    sizes = [len(r["ids"]) // 8 for r in ann.dealt(hot, 3).collect()]
+    assert len(sizes) == 3 and sum(sizes) == 3000 and max(sizes) < 1500
+    n = (1 << 16) + 500
+    index = ann.Index(np.arange(n), np.random.default_rng(5).standard_normal((n, 2)))
+    centre = np.zeros(ann.PROJECTIONS)
+    assert (index.collisions(centre, 1e9) == ann.PROJECTIONS).all()
+    brute = sum(((row >= -1) & (row <= 1)).sum() for row in index.sorted)
+    assert index.collisions(centre, 1.0).sum(dtype=int) == brute
+
+
 def test_cascade_is_exact(spark):
     random.seed(3)
     keys = [f"h{i}.example" for i in range(3000)]

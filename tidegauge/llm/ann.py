@@ -36,8 +36,9 @@ class Index:
         values = np.round(np.concatenate([vectors, tail], axis=1) @ self.directions, 9).T
         order = np.argsort(values, axis=1, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=1)
-        self.place = np.empty(order.shape, np.uint16)  # of each vector in each sorted array
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)  # of each vector in each sorted array
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
+        self.n_ids = len(np.unique(ids))
         self.step = float(values.std()) or 1.0
         self.level = 15
 
@@ -45,23 +46,29 @@ class Index:
         """For each vector, in how many sorted arrays it lies in the query's window."""
         low = np.array([row.searchsorted(c - half, "left") for row, c in zip(self.sorted, centre, strict=True)])
         high = np.array([row.searchsorted(c + half, "right") for row, c in zip(self.sorted, centre, strict=True)])
-        inside = self.place - low.astype(np.uint16)[:, None] < (high - low).astype(np.uint16)[:, None]
+        inside = self.place - low.astype(self.place.dtype)[:, None] < (high - low).astype(self.place.dtype)[:, None]
         return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
 
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and inner products of the vectors verified for the query.
+    def count(self, found: np.ndarray) -> int:
+        """How many ids the vectors at these positions have."""
+        return len(found) if self.n_ids == len(self.ids) else len(np.unique(self.ids[found]))
 
-        Level by level the windows widen by GROWTH, and with them the collisions grow; the first level at which enough
-        vectors reach the threshold is found by doubling steps, then bisection. All vectors that reach it there are verified.
+    def search(self, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and inner products of the vectors verified for the query; those of its own id are left out.
+
+        Level by level the windows widen by GROWTH, and with them the collisions grow; the first level at which vectors
+        of enough ids reach the threshold is found by doubling steps, then bisection. All vectors that reach it there are verified.
         """
-        n = len(self.ids)
+        others = self.ids != qid
+        n = self.n_ids - (not others.all())
         need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(LEAST * k, int(VERIFY * n)))
         centre = np.concatenate([query / np.linalg.norm(query) * self.length, [0.0]]) @ self.directions
-        reach = {}
+        reach, enoughs = {}, {}
 
         def full(level: int) -> bool:
-            reach[level] = np.flatnonzero(self.collisions(centre, FIRST * self.step * GROWTH**level) >= need)
-            return len(reach[level]) >= enough
+            reach[level] = np.flatnonzero((self.collisions(centre, FIRST * self.step * GROWTH**level) >= need) & others)
+            enoughs[level] = self.count(reach[level]) >= enough
+            return enoughs[level]
 
         # Queries of a block need much the same level, so the search for the first full one starts from the last query's.
         low, high, step = -1, self.level, 1
@@ -69,7 +76,7 @@ class Index:
             low, high, step = high, high + step, 2 * step
         while low < 0 < high and (below := max(0, high - step)) < high and full(below):
             high, step = below, 2 * step
-        low = max([low, *(x for x in reach if len(reach[x]) < enough and x < high)])
+        low = max([low, *(x for x in reach if not enoughs[x] and x < high)])
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (low, middle) if full(middle) else (middle, high)
@@ -78,8 +85,12 @@ class Index:
         return found, np.einsum("ij,j->i", self.vectors[found], query)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int):
-    """The k best, and ties to smaller ids."""
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool):
+    """The k best ids, each with its best score if some are repeated, and ties to smaller ids."""
+    if repeated:
+        order = np.lexsort((-scores, ids))
+        first = order[np.unique(ids[order], return_index=True)[1]]
+        ids, scores = ids[first], scores[first]
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         ids, scores = ids[scores >= least], scores[scores >= least]
@@ -94,9 +105,8 @@ def _search(k: int):
                 index = Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vs, np.float64).reshape(-1, row.dim))
                 out = []
                 for qid, query in zip(np.frombuffer(row.qids, np.int64), np.frombuffer(row.qvs, np.float64).reshape(-1, row.dim), strict=True):
-                    at, scores = index.search(query, k + 1)
-                    ids = index.ids[at]
-                    ids, scores = _best(ids[ids != qid], scores[ids != qid], k)
+                    at, scores = index.search(qid, query, k + 1)
+                    ids, scores = _best(index.ids[at], scores, k, index.n_ids < len(index.ids))
                     out.append((np.full(len(ids), qid), ids, scores))
                 q, i, s = map(np.concatenate, zip(*out, strict=True))
                 yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
@@ -111,25 +121,33 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(good).withColumn("dim", F.size("v"))
 
 
+def dealt(vectors: DataFrame, parts: int) -> DataFrame:
+    """Distinct id, v, dim as `parts` packed blocks for each dim. The vector salts the hash, so that rows of one id spread."""
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(parts))
+    return vectors.withColumn("b", block).groupBy("dim", "b").applyInPandas(_pack, "dim int, b long, ids binary, vs binary")
+
+
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k of largest inner product found among all others.
 
-    Vectors are dealt to blocks by a hash of their id; each block sorts all its vectors by PROJECTIONS random projections,
+    Rows alike in id and vector count once, as queries and as candidates. Where an id has several vectors, each of them is a
+    query and a candidate: a pair of ids comes once, with the best score of their vectors, so the k are k different vec_ids.
+
+    Vectors are dealt to blocks by a hash of id and components; each block sorts all its vectors by PROJECTIONS random projections,
     and each query's windows in it grow (the virtual rehashing) until VERIFY of the block fell into COLLISIONS of them; only
     those are verified, exactly. A query block meets each block once; a block returns k rows a query. All vectors within a
     window's edge take part, so equal vectors are found together and ties go to the smaller id. Only vectors of the query's
     dimension are its candidates. Rows that share a query's id are not candidates of each other.
     """
-    base = cut(usable(embeddings))
+    base = cut(usable(embeddings).distinct())
     n, n_queries = base.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     blocks, query_blocks = n // BLOCK + 1, n_queries // QUERIES + 1
-    schema = "dim int, b long, ids binary, vs binary"
-    deal = lambda df, parts: df.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("dim", "b").applyInPandas(_pack, schema)
-    queries = deal(base.filter(F.col("id") % every == 0), query_blocks).withColumnsRenamed({"b": "q", "ids": "qids", "vs": "qvs"})
-    packs = deal(base, blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
+    queries = dealt(base.filter(F.col("id") % every == 0), query_blocks).withColumnsRenamed({"b": "q", "ids": "qids", "vs": "qvs"})
+    packs = dealt(base, blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
     pairs = packs.join(queries.hint("shuffle_hash"), ["dim", "q"]).repartition(blocks * query_blocks, "b", "q")
     found = pairs.select("dim", "ids", "vs", "qids", "qvs").mapInPandas(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
