@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidegauge.llm import ann, fixity, mixing, pieces, rules, shards, simhash, suffixes, tokens, urls
+from tidegauge.llm import ann, common, fixity, mixing, pieces, rules, shards, simhash, suffixes, tokens, urls
 from tidegauge.llm.queries import ORACLE_SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,3 +365,27 @@ def test_shards(documents, odd_documents, no_documents):
     again = shards.op10(documents.repartition(7)).collect()
     assert sorted(again) == sorted(shards.op10(documents).collect())
     assert shards.op10(no_documents).count() == 0
+
+
+def test_repeated_rows_spread(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, "hot")] * 3000 + [(None, "nobody's")] * 1500 + [(None, None)] * 40
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(common, "CHUNK", 1000)
+    numbers = Counter((r["doc_id"], r["text"], r["at"]) for r in common.numbered(table, "at").collect())
+    alike = Counter(rows)
+    assert numbers == Counter((*row, i) for row, n in alike.items() for i in range(n))
+    found = shards.scattered(table, 20).groupBy("bucket_").count().collect()
+    assert sum(r["count"] for r in found) == len(rows) and max(r["count"] for r in found) < 2 * len(rows) / 20
+    found = suffixes.in_blocks(table, 10).groupBy("block_").count().collect()
+    assert sum(r["count"] for r in found) == len(rows) and max(r["count"] for r in found) < 2 * len(rows) / 10
+    once = shards.op10(table).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in once) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted(map(repr, once)) == sorted(map(repr, shards.op10(table.repartition(7)).collect()))
+
+
+def test_suffix_dedup_of_rows_repeated_over_blocks(spark):
+    line = "a line of more than fifty bytes that stands in several texts, again"
+    rows = [(1, line)] * 60 + [(2, f"before {line} after")] * 60 + [(None, line)] * 60 + [(3, "short")] * 5
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(table, block_bytes=2000).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == _brute_removed(rows)

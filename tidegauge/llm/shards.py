@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import whole_text
+from tidegauge.llm.common import free_name, numbered, whole_text
 
 #: Records of a bucket, about; buckets of a run of buckets that one window numbers; shards.
 BUCKET_ROWS, RUN, SHARDS, SEED = 256, 4096, 8, 7
@@ -24,11 +24,19 @@ def _shuffled(seed: int):
     return F.aggregate(draws, F.sequence(F.lit(0), n - 1), swap)
 
 
+def scattered(docs: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
+    """bucket_ and record_, a struct of order_ and the columns of docs; the hash takes in each row's number among those alike."""
+    number = free_name(docs, "number_")
+    order = F.xxhash64(*docs.columns, number, F.lit(seed))
+    records = numbered(docs, number).select(F.struct(order.alias("order_"), *docs.columns).alias("record_"))
+    return records.select(F.pmod(F.col("record_.order_"), F.lit(buckets)).alias("bucket_"), "record_")
+
+
 def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """docs with size, text_crc32, shard and slot: the rows in one seeded random order, dealt to the shards in turn.
 
-    First pass: a seeded hash of doc_id and text scatters rows uniformly to buckets, whose number follows the rows, so that
-    each is small however many texts are equal; rows without a doc_id are scattered by their place in the input instead.
+    First pass: a seeded hash of all columns, and of the row's number among rows alike in all of them, scatters rows uniformly
+    to buckets, whose number follows the rows, so that each is small however many rows are equal.
     Second pass: each bucket is put in order, then shuffled by Fisher-Yates with keyed draws; no draw depends on tasks or
     partitions, so reruns and retries agree. The row after those of all buckets before it goes to the next shard in turn:
     the shards' counts differ by one at most (the law `rows`), and slots have no gaps. Null texts have size 1 and CRC 0;
@@ -36,12 +44,9 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
     """
     docs = docs.drop("shard", "slot").withColumns({"size": (F.octet_length(whole_text()) + 1).cast("long"), "text_crc32": F.crc32(whole_text().cast("binary"))})
     buckets = docs.count() // bucket_rows + 1
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    order = F.xxhash64("doc_id", whole_text(), place, F.lit(seed))
-    records = docs.withColumn("record_", F.struct(order.alias("order_"), *docs.columns))
-    scattered = records.select(F.pmod(F.col("record_.order_"), F.lit(buckets)).alias("bucket_"), "record_")
-    filled = scattered.groupBy("bucket_").agg(F.sort_array(F.collect_list("record_")).alias("records_"))
-    counts = scattered.groupBy("bucket_").agg(F.count("*").alias("n_")).withColumn("run_", F.floor(F.col("bucket_") / RUN))
+    rows = scattered(docs, buckets, seed)
+    filled = rows.groupBy("bucket_").agg(F.sort_array(F.collect_list("record_")).alias("records_"))
+    counts = rows.groupBy("bucket_").agg(F.count("*").alias("n_")).withColumn("run_", F.floor(F.col("bucket_") / RUN))
     within = counts.withColumn("before_", F.sum("n_").over(Window.partitionBy("run_").orderBy("bucket_")) - F.col("n_"))
     runs = counts.groupBy("run_").agg(F.sum("n_").alias("run_n_")).withColumn("run_before_", F.sum("run_n_").over(Window.orderBy("run_")) - F.col("run_n_"))
     offsets = within.join(runs, "run_").select("bucket_", (F.col("before_") + F.col("run_before_")).alias("offset_"))
