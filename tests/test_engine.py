@@ -1,6 +1,7 @@
 """Hand-built scenarios and properties of the parts that SQL can't hold."""
 
 import json
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,11 @@ from tidegauge import cli
 from tidegauge.config import EngineConfig, EpisodeConfig, SessionConfig, ZoneConfig, override
 from tidegauge.functions.numbers import bootstrap_interval, exact_interval, tail
 from tidegauge.operators.episodes import MEASURES, replay
+from tidegauge.operators.indicators import smoothed
 from tidegauge.operators.strata import tercile
 from tidegauge.operators.zones import merge_close, significant
+from tidegauge.sources.bars import read_files
+from tidegauge.sources.sinks import file_hashes
 
 RULES = EpisodeConfig(R=4, O=1, T=3)
 
@@ -106,9 +110,9 @@ def test_config():
 
 
 def test_episodes_of_a_zone_never_overlap(spark, medium):
-    from tidegauge.queries import episodes, stratum_rates
+    from tidegauge.queries import _analysis, stratum_rates
 
-    found = episodes(spark, medium).orderBy("zone_id", "touch_time").collect()
+    found = _analysis(spark, medium)[2].orderBy("zone_id", "touch_time").collect()
     assert found and all(r["bars_to_outcome"] <= 20 for r in found)
     for a, b in zip(found, found[1:], strict=False):
         assert a["zone_id"] != b["zone_id"] or a["outcome_time"] < b["touch_time"]
@@ -116,6 +120,54 @@ def test_episodes_of_a_zone_never_overlap(spark, medium):
     assert sum(r["rate"] for r in rates) == pytest.approx(1) and sum(r["n"] for r in rates) == rates[0]["n_episodes"]
 
 
+@pytest.mark.parametrize("holes", [[], [0, 1], [5, 6, 7, 20], list(range(10, 35)), list(range(60))])
+def test_recursive_means_by_day_equal_one_pass(spark, holes):
+    values = np.random.default_rng(3).normal(size=60)
+    values[holes] = np.nan
+    rows = [("a", datetime(2024, 1, 1) + timedelta(hours=5 * i), None if np.isnan(x) else float(x)) for i, x in enumerate(values)]
+    found = smoothed(spark.createDataFrame(rows, "symbol string, timestamp timestamp, x double"), {"y": ("x", 14)}).orderBy("timestamp").collect()
+    want = pd.Series(values).ewm(span=14, adjust=False).mean()
+    assert np.allclose([np.nan if r["y"] is None else r["y"] for r in found], want, rtol=1e-12, equal_nan=True)
+
+
+def test_volumes_of_any_form(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("Timestamp,Open,High,Low,Close,Volume,Symbol\n" + "".join(f"2024-01-02 10:0{i}:00,1,2,1,2,{v},{s}\n" for i, (v, s) in enumerate([("100.0", "A"), ("", "A"), ("12.5", "B"), ("7", "B")])))
+    rows = read_files(spark, [f"{tmp_path}/raw.csv"]).orderBy("timestamp").collect()
+    assert [r["volume"] for r in rows] == [100.0, None, 12.5, 7.0] and [r["symbol"] for r in rows] == ["A", "A", "B", "B"]
+
+
+def test_files_are_hashed_as_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_bytes(b"x" * 100_000)
+    (tmp_path / "y.csv").write_bytes(b"")
+    got = file_hashes(spark, [f"{tmp_path}/a", f"{tmp_path}/y.csv"])
+    assert sorted(got.values()) == sorted(hashlib.sha256(x).hexdigest() for x in (b"x" * 100_000, b""))
+
+
+def test_two_symbols_keep_their_own(spark, small, tmp_path):
+    from tidegauge.config import EngineConfig as Config
+    from tidegauge.plans import engine
+    from tidegauge.sources.bars import bars_from_events
+    from tidegauge.sources.sinks import statistics_tree, zone_rows
+
+    one = bars_from_events(spark, small, 15)
+    both = one.withColumn("symbol", F.lit("A")).unionByName(one.withColumn("symbol", F.lit("B"))).withColumn("file_ord", F.lit(0))
+    found = engine.analyze(engine.prepare_frame(both, Config()), Config())
+    zones = [tuple(r) for r in zone_rows(found.zones).collect()]
+    assert zones and sorted(z[:-1] for z in zones if z[-1] == "A") == sorted(z[:-1] for z in zones if z[-1] == "B")
+    assert min(z[0] for z in zones) == 1
+    tree = statistics_tree(found.rates, found.metrics, found.intervals)
+    assert set(tree) == {"A", "B"} and tree["A"] == tree["B"]
+
+
+def test_a_missing_config_file_warns(caplog):
+    from tidegauge.config import load_config
+
+    assert load_config("/nowhere/x.json") == EngineConfig() and "no config file" in caplog.text
+
+
 def test_command_line(spark, small, tmp_path):
     from tidegauge.sources.bars import bars_from_events
 
@@ -123,7 +175,8 @@ def test_command_line(spark, small, tmp_path):
     assert cli.main(["prepare", "--files", f"{tmp_path}/raw", "--out", f"{tmp_path}/p.parquet"]) == 0
     assert cli.main(["analyze", "--data", f"{tmp_path}/p.parquet", "--out", f"{tmp_path}/r"]) == 0
     tree = json.loads((tmp_path / "r" / "statistics.json").read_text())
-    assert "all" in tree and spark.read.option("header", True).csv(f"{tmp_path}/r/zones.csv").columns[0] == "id"
+    assert "all" in tree and spark.read.option("header", True).csv(f"{tmp_path}/r/daily_map.csv").count() > 0
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r/zones.csv").columns[0] == "id"
     (tmp_path / "g.json").write_text(json.dumps([{}, {"episode": {"R": 10, "O": 4}}]))
     assert cli.main(["sweep", "--data", f"{tmp_path}/p.parquet", "--grid", f"{tmp_path}/g.json", "--out", f"{tmp_path}/s"]) == 0
     assert spark.read.option("header", True).csv(f"{tmp_path}/s/sweep_summary.csv").count() == 2

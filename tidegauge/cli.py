@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 from pathlib import Path
 
 from tidegauge.config import load_config, load_grid
+from tidegauge.operators import quality, sessions
 from tidegauge.plans import engine
 from tidegauge.session import session
 from tidegauge.sources import sinks
-from tidegauge.sources.bars import read_files
+from tidegauge.sources.bars import first_of_each_time, read_files
+
+LOG = logging.getLogger("tidegauge")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,11 +40,16 @@ def main(argv: list[str] | None = None) -> int:
     if not args.command:
         parser().print_help()
         return 0
+    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = session()
     config = load_config(getattr(args, "config", None))
     if args.command == "prepare":
         sinks.write_metadata(spark, str(Path(args.out).parent), "prepare", vars(args), args.files, config)
         sinks.write_table(engine.prepare(spark, args.files, config), args.out)
+        once = first_of_each_time(read_files(spark, args.files), ["file_ord", "symbol", "timestamp"])
+        LOG.info("quality report: %s", quality.report(sessions.annotate_sessions(once, config.session), config.data_quality).first().asDict())
+        LOG.info("prepared: %s", engine.data_span(read_files(spark, [args.out])).first().asDict())
         return 0
     bars = read_files(spark, [args.data])
     if args.command == "sweep":
@@ -50,7 +59,12 @@ def main(argv: list[str] | None = None) -> int:
     found = engine.analyze(bars, config)
     sinks.write_table(sinks.zone_rows(found.zones), f"{args.out}/zones.csv")
     sinks.write_table(found.episodes, f"{args.out}/episodes.csv")
-    (Path(args.out) / "statistics.json").write_text(json.dumps(sinks.statistics_tree(found.rates, found.metrics, found.intervals), indent=2, default=str))
+    plots = {"daily_map": found.daily_map, "outcome_counts": found.outcome_counts, "histograms": engine.histograms(found.episodes)}
+    for name, rows in plots.items():
+        sinks.write_table(rows, f"{args.out}/{name}.csv")
+    sinks.write_text(spark, f"{args.out}/statistics.json", json.dumps(sinks.statistics_tree(found.rates, found.metrics, found.intervals), indent=2, default=str))
+    for r in found.rates.filter("stratum = 'all' and outcome = 'RESPECT' and n_episodes > 0").collect():  # a row a symbol
+        LOG.info("RESPECT rate %s: %.4f (%.4f to %.4f) of %d", r["symbol"], r["rate"], r["ci_low"], r["ci_high"], r["n_episodes"])
     return 0
 
 

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import logging
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
 
+LOG = logging.getLogger("tidegauge")
+
+
 def _need(ok: bool, what: str) -> None:
     if not ok:
         raise ValueError(what)
 
 
+# Names, grouping and defaults of the settings below are the users' file format.
+
+
 @dataclass
 class SessionConfig:
     tz_rth: str = "America/New_York"
@@ -36,7 +43,7 @@ class IndicatorConfig:
     stoch_n: int = 14
     stoch_d: int = 3
     rvol_lookback_sessions: int = 30
-    vwap_bands_window: int = 60
+    vwap_bands_window: int = 60  # accepted, unused
 
     def __post_init__(self):
         _need(self.atr_n >= 2, "atr_n must be 2 or more")
@@ -79,6 +86,8 @@ class EpisodeConfig:
         _need(self.R > 0 and self.O > 0, "R and O must be positive")
         _need(self.O < self.R, "O must be less than R")
         _need(self.T >= 1, "T must be 1 or more")
+        if self.T > 390:
+            LOG.warning("T of %d bars is longer than a session of 390 minutes", self.T)
 
 
 @dataclass
@@ -99,8 +108,8 @@ class EngineConfig:
     zones: ZoneConfig = field(default_factory=ZoneConfig)
     episode: EpisodeConfig = field(default_factory=EpisodeConfig)
     data_quality: DataQualityConfig = field(default_factory=DataQualityConfig)
-    cache_dir: str = "cache"
-    out_dir: str = "results"
+    cache_dir: str = "cache"  # accepted, unused
+    out_dir: str = "results"  # accepted, unused
 
 
 def override(config, values: dict, strict: bool = False):
@@ -131,9 +140,11 @@ def read_tree(path: str):
 
 
 def load_config(path: str | None, strict: bool = False) -> EngineConfig:
-    """Defaults with the file's values over them; the defaults if there is no such file."""
+    """Defaults with the file's values over them; the defaults, with a warning, if there is no such file."""
     config = EngineConfig()
-    if path and Path(path).exists():
+    if path and not Path(path).exists():
+        LOG.warning("no config file %s: defaults apply", path)
+    elif path:
         override(config, read_tree(path) or {}, strict)
     return config
 

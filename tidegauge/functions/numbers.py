@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import ceil, exp, lgamma, log, log1p
+from functools import lru_cache
+from math import ceil, exp, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,13 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
+@lru_cache(64)
+def _log_chooses(n: int) -> np.ndarray:
+    """Logarithms of the binomial coefficients of n."""
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    return logs[-1] - logs - logs[::-1]
+
+
 def tail(n: int, x: int, p: float) -> float:
     """P(X >= x) of a binomial, from terms in logarithms, so that no size overflows."""
     if x <= 0:
@@ -19,7 +27,7 @@ def tail(n: int, x: int, p: float) -> float:
     if p >= 1:
         return 1.0
     k = np.arange(x, n + 1)
-    terms = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in k]) + k * log(p) + (n - k) * log1p(-p)
+    terms = _log_chooses(n)[x:] + k * log(p) + (n - k) * log1p(-p)
     top = terms.max()
     return float(min(1.0, exp(top) * np.exp(terms - top).sum()))
 

@@ -90,8 +90,9 @@ def spacing(bars: DataFrame) -> DataFrame:
     return middle.select("symbol", F.when(F.col("m") > 0, F.col("m")).otherwise(60e6).alias("spacing"))
 
 
-def detect_episodes(bars: DataFrame, zones: DataFrame, config: EpisodeConfig, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The episodes of all zones. extra: columns of zones that tell their runs apart (as in a sweep); they come first.
+def detect_episodes(bars: DataFrame, zones: DataFrame, config: EpisodeConfig | list[EpisodeConfig], run: str | None = None) -> DataFrame:
+    """The episodes of all zones. run: an int column of zones that tells the runs of a sweep apart and comes first; config is then
+    a list with the rules of each run.
 
     A zone meets the bars of its days in an equi-join on symbol and date, and is then replayed by itself; its bars are
     bounded by its expiry, so is the group.
@@ -101,15 +102,15 @@ def detect_episodes(bars: DataFrame, zones: DataFrame, config: EpisodeConfig, ex
     live = bars.withColumns(flags | {"bar_idx": (F.row_number().over(order) - 1).cast("long"), "prev_close": F.lag("close").over(order), "micros": F.unix_micros("timestamp"), "day_": F.to_date("timestamp")})
     live = live.join(spacing(bars), "symbol").select("symbol", "day_", "timestamp", "micros", "bar_idx", "high", "low", "close", "prev_close", "is_outlier", "has_gap", "is_rth", "minute_of_day", "spacing", *MEASURES)
     days = F.sequence(F.to_date("activation_time"), F.to_date("expiry_time"))
+    extra = [run] if run else []
     spans = zones.select(*extra, "symbol", F.col("id").alias("zone_id"), F.col("type").alias("zone_type"), "level", "width", "activation_time", "expiry_time", F.explode(days).alias("day_"))
     pairs = spans.join(live, ["symbol", "day_"]).filter("timestamp > activation_time and timestamp <= expiry_time").drop("day_", "activation_time", "expiry_time")
-    kinds = {f.name: f.dataType.simpleString() for f in zones.schema.fields}
-    schema = "".join(f"{c} {kinds[c]}, " for c in extra) + SCHEMA
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = replay(pdf, config)
-        for i, c in enumerate(extra):
-            out.insert(i, c, pdf[c].iloc[0])
+    def replayed(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not run:
+            return replay(pdf, config)
+        out = replay(pdf, config[int(pdf[run].iloc[0])])
+        out.insert(0, run, pdf[run].iloc[0])
         return out
 
-    return pairs.groupBy(*extra, "symbol", "zone_id").applyInPandas(run, schema)
+    return pairs.groupBy(*extra, "symbol", "zone_id").applyInPandas(replayed, "".join(f"{c} int, " for c in extra) + SCHEMA)

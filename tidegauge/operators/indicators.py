@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,21 +28,68 @@ def true_range(bars: DataFrame) -> DataFrame:
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
+def _decays(known: np.ndarray, alpha: float) -> float:
+    """What is left at the end of a day of a change in the mean at the day's first known value."""
+    gaps = np.diff(known)
+    plain = gaps == 1
+    old = (1 - alpha) ** gaps[~plain].astype(float)
+    return float((1 - alpha) ** plain.sum() * np.prod(old / (old + alpha)))
+
+
 def smoothed(bars: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """bars with a recursive mean of each named column: {new: (column, span)}, seeded by its first value.
+    """bars with a recursive mean of each named column: {new: (column, span)}, seeded by its first known value.
 
-    A recursion has no window form; it runs in pandas, a symbol at a time. A symbol's bars are few (10 years of minutes are
-    about 200 MB), and symbols run side by side.
+    Days run side by side. Each day is summed up in a row (where its own recursion ends, and what of another start would be
+    left there); those rows, one a day, are chained for each symbol; then each day recurs from the mean it starts with.
+    Unknown values keep the mean and let its weight decay.
     """
+    alphas = {name: 2.0 / (span + 1) for name, (_, span) in columns.items()}
+    parts = {"end": "double", "left": "double", "first": "double", "lead": "long", "trail": "long"}
+    summary = "symbol string, day_ date, " + ", ".join(f"{name}_{part} {kind}" for name in columns for part, kind in parts.items())
+    carry = "symbol string, day_ date, " + ", ".join(f"{name}_from_ double, {name}_gap_ long" for name in columns)
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, row = pdf.sort_values("timestamp", kind="stable"), {"symbol": [pdf["symbol"].iloc[0]], "day_": [pdf["day_"].iloc[0]]}
+        for name, (column, span) in columns.items():
+            values = pdf[column].astype(float)
+            known = np.flatnonzero(values.notna())
+            if len(known):
+                own = (values.ewm(span=span, adjust=False).mean().iloc[-1], _decays(known, alphas[name]), values.iloc[known[0]], known[0], len(values) - 1 - known[-1])
+            else:
+                own = (np.nan, 1.0, np.nan, len(values), 0)
+            row |= {f"{name}_{part}": [x] for part, x in zip(parts, own, strict=True)}
+        return pd.DataFrame(row)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_", kind="stable")
+        out = pdf[["symbol", "day_"]].copy()
+        for name, alpha in alphas.items():
+            mean, gap, starts = np.nan, 0, []
+            for end, left, first, lead, trail in pdf[[f"{name}_{part}" for part in parts]].itertuples(index=False):
+                starts.append((mean, gap))
+                if np.isnan(end):
+                    gap += int(lead)
+                    continue
+                old = (1 - alpha) ** (gap + lead + 1)
+                begun = first if np.isnan(mean) else (old * mean + alpha * first) / (old + alpha)
+                mean, gap = end + left * (begun - first), int(trail)
+            out[f"{name}_from_"], out[f"{name}_gap_"] = [x for x, _ in starts], [x for _, x in starts]
+        return out
+
     schema = StructType([*bars.schema.fields, *(StructField(name, DoubleType()) for name in columns)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def recur(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp", kind="stable")
         for name, (column, span) in columns.items():
-            pdf[name] = pdf[column].astype(float).ewm(span=span, adjust=False).mean()
-        return pdf
-
-    return bars.groupBy("symbol").applyInPandas(run, schema)
+            start, gap, values = pdf[f"{name}_from_"].iloc[0], int(pdf[f"{name}_gap_"].iloc[0]), pdf[column].to_numpy(float)
+            head = [] if np.isnan(start) else [start, *[np.nan] * gap]
+            pdf[name] = pd.Series(np.concatenate([head, values])).ewm(span=span, adjust=False).mean().to_numpy()[len(head):]
+        return pdf[schema.names]
+
+    days = bars.withColumn("day_", F.to_date("timestamp"))
+    needed = days.select("symbol", "day_", "timestamp", *{column for column, _ in columns.values()})
+    starts = needed.groupBy("symbol", "day_").applyInPandas(summarise, summary).groupBy("symbol").applyInPandas(chain, carry)
+    return days.join(starts, ["symbol", "day_"]).groupBy("symbol", "day_").applyInPandas(recur, schema)
 
 
 def relative_volume(bars: DataFrame, sessions: int) -> DataFrame:

@@ -10,14 +10,9 @@ from tidegauge.config import DataQualityConfig
 _BY = ("file_ord", "symbol")
 
 
-def _no(mask: Column) -> Column:
-    """Rows for which the mask isn't known stay."""
-    return ~F.coalesce(mask, F.lit(False))
-
-
 def _return(order) -> Column:
-    """Relative change of close against the last known close; infinite after a zero."""
-    known = F.last("close", ignorenulls=True)
+    """Relative change of close against the last known close before it, among rows not dropped so far; infinite after a zero."""
+    known = F.last(F.when(F.col("dropped").isNull(), F.col("close")), ignorenulls=True)
     before = known.over(order.rowsBetween(Window.unboundedPreceding, -1))
     now = known.over(order.rowsBetween(Window.unboundedPreceding, 0))
     return F.when((before == 0) & (now != 0), F.lit(float("inf"))).otherwise(F.try_divide(now, before) - 1)
@@ -29,54 +24,53 @@ def bad_ohlc() -> Column:
     return F.coalesce(masks[0], F.lit(False)) | F.coalesce(masks[1], F.lit(False)) | F.coalesce(masks[2], F.lit(False)) | F.coalesce(masks[3], F.lit(False)) | F.coalesce(masks[4], F.lit(False))
 
 
-def stages(bars: DataFrame, config: DataQualityConfig) -> dict[str, DataFrame]:
-    """The rows left after each filter, in order: integrity, price spikes (returns over what integrity left), low volume; then flagged.
+def marked(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
+    """bars, all rows, with dropped (ohlc, spike, volume; null for rows that stay), is_outlier and has_gap.
 
-    is_outlier: the return among survivors exceeds the threshold times the session's median absolute deviation, scaled.
-    has_gap: more minutes than allowed since the row before it in the same session. Files are judged apart, as symbols are.
+    Filters apply in that order: returns of the spike rule run over what integrity left, those of the outlier rule over the
+    survivors. is_outlier: the return exceeds the threshold times the session's median absolute deviation, scaled; without
+    session_date, the threshold times the returns' sample deviation in the file and symbol. has_gap: more minutes than allowed
+    since the survivor before it in the same session. Files are judged apart, as symbols are.
     """
     order = Window.partitionBy(*_BY).orderBy("timestamp")
-    out = {"original": bars}
-    bars = bars.filter(_no(bad_ohlc())) if config.check_ohlc_integrity else bars
-    out["integrity"] = bars
+    no, dropped = F.lit(None).cast("string"), F.col("dropped")
+    out = bars.withColumn("dropped", F.when(bad_ohlc(), "ohlc") if config.check_ohlc_integrity else no)
     if config.max_price_change_pct > 0:
-        bars = bars.withColumn("r_", _return(order)).filter(_no(F.abs("r_") * 100 > config.max_price_change_pct)).drop("r_")
-    out["spikes"] = bars
-    bars = bars.filter(_no(F.col("volume") < config.min_volume)) if config.min_volume > 0 else bars
-    out["volume"] = bars
+        spike = dropped.isNull() & F.coalesce(F.abs(_return(order)) * 100 > config.max_price_change_pct, F.lit(False))
+        out = out.withColumn("spike_", spike).withColumn("dropped", F.when(F.col("spike_"), "spike").otherwise(dropped)).drop("spike_")
+    if config.min_volume > 0:
+        low = dropped.isNull() & F.coalesce(F.col("volume") < config.min_volume, F.lit(False))
+        out = out.withColumn("dropped", F.when(low, "volume").otherwise(dropped))
+    stays, outlier, gap = dropped.isNull(), F.lit(False), F.lit(False)
     if config.remove_outliers:
-        bars = bars.withColumn("r_", _return(order))
-        session = [*_BY, "session_date"]
-        middle = bars.groupBy(*session).agg(F.median("r_").alias("m_"))
-        spread = bars.join(middle, session).groupBy(*session).agg(F.median(F.abs(F.col("r_") - F.col("m_"))).alias("mad_"))
-        limit = config.outlier_std_threshold * F.col("mad_") * 1.4826 + 1e-9
-        bars = bars.join(spread, session, "left").withColumn("is_outlier", F.coalesce(F.abs("r_") > limit, F.lit(False))).drop("r_", "mad_")
-    else:
-        bars = bars.withColumn("is_outlier", F.lit(False))
+        out = out.withColumn("r_", F.when(stays, _return(order)))
+        if "session_date" in bars.columns:
+            session = Window.partitionBy(*_BY, "session_date")
+            out = out.withColumn("m_", F.median("r_").over(session)).withColumn("mad_", F.median(F.abs(F.col("r_") - F.col("m_"))).over(session))
+            limit = config.outlier_std_threshold * F.col("mad_") * 1.4826 + 1e-9
+        else:
+            out = out.withColumn("dev_", F.stddev_samp("r_").over(Window.partitionBy(*_BY)))
+            limit = F.col("dev_") * config.outlier_std_threshold
+        outlier = F.coalesce(F.abs("r_") > limit, F.lit(False))
     if config.handle_gaps:
-        same = F.lag("session_date").over(order) == F.col("session_date")
-        minutes = (F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(order))) / 60e6
-        bars = bars.withColumn("has_gap", F.coalesce(same & (minutes > config.max_gap_minutes), F.lit(False)))
-    else:
-        bars = bars.withColumn("has_gap", F.lit(False))
-    return out | {"flagged": bars}
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        last = F.last(F.when(stays, F.struct("timestamp", "session_date")), ignorenulls=True).over(before)
+        minutes = (F.unix_micros("timestamp") - F.unix_micros(last["timestamp"])) / 60e6
+        gap = stays & F.coalesce((last["session_date"] == F.col("session_date")) & (minutes > config.max_gap_minutes), F.lit(False))
+    return out.withColumns({"is_outlier": outlier, "has_gap": gap}).drop("r_", "m_", "mad_", "dev_")
 
 
 def validate(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
-    return stages(bars, config)["flagged"]
+    """The rows that stay, with is_outlier and has_gap."""
+    return marked(bars, config).filter("dropped is null").drop("dropped")
 
 
 def report(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
     """One row: original_rows, invalid_ohlc, price_spike, low_volume, outliers, gaps_detected, final_rows, rows_removed, removal_pct."""
-    found = stages(bars, config)
-    counts = [df.agg(F.count("*").alias(name)) for name, df in found.items() if name != "flagged"]
-    counts.append(found["flagged"].agg(F.count("*").alias("final_rows"), F.count_if("is_outlier").alias("outliers"), F.count_if("has_gap").alias("gaps_detected")))
-    row = counts[0]
-    for other in counts[1:]:
-        row = row.join(F.broadcast(other))  # one row each
-    removed = F.col("original") - F.col("final_rows")
-    return row.select(
-        F.col("original").alias("original_rows"), (F.col("original") - F.col("integrity")).alias("invalid_ohlc"), (F.col("integrity") - F.col("spikes")).alias("price_spike"),
-        (F.col("spikes") - F.col("volume")).alias("low_volume"), "outliers", "gaps_detected", "final_rows", removed.alias("rows_removed"),
-        F.coalesce(F.try_divide(100.0 * removed, F.col("original")), F.lit(0.0)).alias("removal_pct"),
+    gone = lambda kind: F.count_if(F.col("dropped").eqNullSafe(kind))
+    found = marked(bars, config).agg(
+        F.count("*").alias("original_rows"), gone("ohlc").alias("invalid_ohlc"), gone("spike").alias("price_spike"), gone("volume").alias("low_volume"),
+        F.count_if("is_outlier").alias("outliers"), F.count_if("has_gap").alias("gaps_detected"), F.count_if(F.col("dropped").isNull()).alias("final_rows"),
     )
+    found = found.withColumn("rows_removed", F.col("original_rows") - F.col("final_rows"))
+    return found.withColumn("removal_pct", F.coalesce(F.try_divide(100.0 * F.col("rows_removed"), F.col("original_rows")), F.lit(0.0)))

@@ -119,10 +119,10 @@ def merge_close(zones: DataFrame, tolerance: float) -> DataFrame:
 
 
 def detect_zones(bars: DataFrame, pivots: DataFrame, config: ZoneConfig) -> DataFrame:
-    """symbol, id, type, level, width, activation_time, expiry_time, touches, p_value, is_significant; resistances are numbered first, each side by level."""
+    """symbol, id, type, level, width, activation_time, expiry_time, touches, p_value, is_significant; ids from 1, resistances first, each side by level."""
     found = significant(candidates(bars, cluster_pivots(pivots, config), config), config)
     merged = merge_close(found, config.merge_tolerance_points).withColumn("type", F.when(F.col("type") == "HIGH", "RESISTANCE").otherwise("SUPPORT"))
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("type", "place", "cluster")) - 1
+    number = F.row_number().over(Window.partitionBy("symbol").orderBy("type", "place", "cluster"))
     expiry = F.timestamp_micros(F.unix_micros("activation_time") + config.expire_days * 86_400_000_000)
     return merged.withColumns({"id": number.cast("int"), "expiry_time": expiry, "is_significant": F.lit(True)}).select(
         "symbol", "id", "type", "level", "width", "activation_time", "expiry_time", "touches", "p_value", "is_significant"

@@ -16,6 +16,7 @@ from tidegauge.operators.episodes import detect_episodes
 from tidegauge.operators.pivots import detect_pivots
 from tidegauge.operators.strata import bootstrap_intervals, metric_summary, outcome_rates, stratify
 from tidegauge.operators.zones import detect_zones
+from tidegauge.session import cut
 from tidegauge.sources.bars import first_of_each_time, normalise, read_files
 
 
@@ -38,6 +39,9 @@ def ensure_prepared(bars: DataFrame, config: EngineConfig) -> DataFrame:
     return bars if set(indicators.COLUMNS) <= set(bars.columns) else indicators.add_indicators(bars, config.indicators)
 
 
+RATES = {"RESPECT": "respect_rate", "PIERCE_AND_REVERT": "pierce_revert_rate", "BREAK": "break_rate", "TIMEOUT": "timeout_rate"}
+
+
 @dataclass
 class Analysis:
     """What analyze() gives, all of it lazy."""
@@ -47,16 +51,28 @@ class Analysis:
     rates: DataFrame
     metrics: DataFrame
     intervals: DataFrame
-    data_shape: tuple[DataFrame, int]
+    data_shape: DataFrame
+    daily_map: DataFrame
+    outcome_counts: DataFrame
 
 
 def analyze(bars: DataFrame, config: EngineConfig | None = None) -> Analysis:
-    """Zones of prepared bars, their episodes, and the statistics of each stratum."""
+    """Zones of prepared bars, their episodes, and the statistics of each stratum. Bars, zones and episodes are written to the checkpoint folder on the way."""
     config = config or EngineConfig()
-    bars = ensure_prepared(bars, config)
-    zones = detect_zones(bars, detect_pivots(bars, config.zones), config.zones)
-    episodes = stratify(detect_episodes(bars, zones, config.episode))
-    return Analysis(zones, episodes, outcome_rates(episodes), metric_summary(episodes), bootstrap_intervals(episodes, config.episode), (bars.agg(F.count("*").alias("rows")), len(bars.columns)))
+    bars = cut(ensure_prepared(bars, config))
+    zones = cut(detect_zones(bars, detect_pivots(bars, config.zones), config.zones))
+    episodes = cut(stratify(detect_episodes(bars, zones, config.episode)))
+    return Analysis(zones, episodes, outcome_rates(episodes), metric_summary(episodes), bootstrap_intervals(episodes, config.episode), data_span(bars), daily_map(bars, zones, episodes, config.session.tz_rth), outcome_counts(episodes))
+
+
+def data_span(bars: DataFrame) -> DataFrame:
+    """One row: rows, columns, first_time and last_time of the bars."""
+    return bars.agg(F.count("*").alias("rows"), F.lit(len(bars.columns)).alias("columns"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
+
+
+def outcome_counts(episodes: DataFrame) -> DataFrame:
+    """symbol, outcome, n: how often each outcome came, INVALID too."""
+    return episodes.groupBy("symbol", "outcome").agg(F.count("*").alias("n"))
 
 
 def run_id(params: dict) -> str:
@@ -64,34 +80,48 @@ def run_id(params: dict) -> str:
 
 
 def sweep(bars: DataFrame, grid: list[dict]) -> DataFrame:
-    """run_id, params, n_valid_episodes, n_invalid_episodes and the four rates of each set of settings, in one job.
+    """place, run_id, params, n_valid_episodes, n_invalid_episodes and the four rates of each set of settings, in one job.
 
-    Bars are prepared once with the default settings and kept; only the groups zones and episode take effect. A set without
-    valid episodes has null rates.
+    Bars are prepared once with the default settings and written to the checkpoint folder; only the groups zones and episode
+    take effect. Zones are found once for each different group of zone settings, then replayed in one keyed pass over the bars
+    for all sets. A set without valid episodes has null rates.
     """
-    bars, runs = ensure_prepared(bars, EngineConfig()).cache(), []
-    for place, params in enumerate(grid):
-        config = override(EngineConfig(), params)
-        zones = detect_zones(bars, detect_pivots(bars, config.zones), config.zones)
-        found = detect_episodes(bars, zones, config.episode).groupBy().agg(
-            F.count_if(F.col("outcome") != "INVALID").alias("n_valid_episodes"), F.count_if(F.col("outcome") == "INVALID").alias("n_invalid_episodes"),
-            *(F.count_if(F.col("outcome") == o).alias(c) for o, c in (("RESPECT", "respect_rate"), ("PIERCE_AND_REVERT", "pierce_revert_rate"), ("BREAK", "break_rate"), ("TIMEOUT", "timeout_rate"))),
-        )
-        runs.append(found.select(F.lit(place).alias("place"), F.lit(run_id(params)).alias("run_id"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "n_valid_episodes", "n_invalid_episodes", *(F.try_divide(c, "n_valid_episodes").alias(c) for c in found.columns[2:])))
-    return reduce(DataFrame.unionByName, runs)
+    bars = cut(ensure_prepared(bars, EngineConfig()))
+    configs = [override(EngineConfig(), params) for params in grid]
+    kinds: dict[str, tuple] = {}
+    for place, config in enumerate(configs):
+        kinds.setdefault(repr(config.zones), (config.zones, []))[1].append(place)
+    found = [
+        detect_zones(bars, detect_pivots(bars, own), own).select("*", F.explode(F.array(*map(F.lit, places))).alias("place"))
+        for own, places in kinds.values()
+    ]
+    spark = bars.sparkSession
+    sets = spark.createDataFrame([(i, run_id(x), json.dumps(x, sort_keys=True)) for i, x in enumerate(grid)], "place int, run_id string, params string")
+    if not grid:
+        return sets.selectExpr("*", "0L AS n_valid_episodes", "0L AS n_invalid_episodes", *(f"0D AS {c}" for c in RATES.values()))
+    counted = detect_episodes(bars, cut(reduce(DataFrame.unionByName, found)), [c.episode for c in configs], "place").groupBy("place").agg(
+        F.count_if(F.col("outcome") != "INVALID").alias("n_valid_episodes"), F.count_if(F.col("outcome") == "INVALID").alias("n_invalid_episodes"),
+        *(F.count_if(F.col("outcome") == outcome).alias(rate) for outcome, rate in RATES.items()),
+    )
+    out = sets.join(counted, "place", "left").fillna(0, ["n_valid_episodes", "n_invalid_episodes"])
+    return out.select("place", "run_id", "params", "n_valid_episodes", "n_invalid_episodes", *(F.try_divide(c, "n_valid_episodes").alias(c) for c in RATES.values()))
 
 
 def nearest_bars(episodes: DataFrame, bars: DataFrame) -> DataFrame:
-    """symbol, zone_id, touch_time and bar_time, the bar nearest to the touch; the earlier of two as near.
+    """symbol, zone_id, touch_time, bar_time and touch_price: the bar nearest to each touch, the earlier of two as near, and its close.
 
     Both sides are laid in one order of time and looked at back and forth: an as-of join without a range join.
     """
-    marks = episodes.select("symbol", F.col("touch_time").alias("t"), "zone_id").unionByName(bars.select("symbol", F.col("timestamp").alias("t"), F.lit(None).cast("int").alias("zone_id"), F.col("timestamp").alias("bar")), allowMissingColumns=True)
+    bar = F.struct(F.col("timestamp").alias("at"), F.col("close").alias("price")).alias("bar")
+    marks = episodes.select("symbol", F.col("touch_time").alias("t"), "zone_id").unionByName(bars.select("symbol", F.col("timestamp").alias("t"), F.lit(None).cast("int").alias("zone_id"), bar), allowMissingColumns=True)
     order = Window.partitionBy("symbol").orderBy("t", F.col("zone_id").isNotNull())
-    seen = marks.withColumns({"back": F.last("bar", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first("bar", True).over(order.rowsBetween(0, Window.unboundedFollowing))})
-    gap = lambda c: F.abs(F.unix_micros(c) - F.unix_micros("t"))
+    back_order = Window.partitionBy("symbol").orderBy(F.desc("t"), F.col("zone_id").isNotNull())
+    seen = marks.withColumn("back", F.last("bar", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("ahead", F.last("bar", True).over(back_order.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = lambda c: F.abs(F.unix_micros(F.col(c)["at"]) - F.unix_micros("t"))
     near = F.when(F.col("ahead").isNull() | (gap("back") <= gap("ahead")), F.col("back")).otherwise(F.col("ahead"))
-    return seen.filter(F.col("zone_id").isNotNull()).select("symbol", "zone_id", F.col("t").alias("touch_time"), near.alias("bar_time"))
+    seen = seen.filter(F.col("zone_id").isNotNull()).withColumn("near", near)
+    return seen.select("symbol", "zone_id", F.col("t").alias("touch_time"), F.col("near.at").alias("bar_time"), F.col("near.price").alias("touch_price"))
 
 
 def zones_by_session(bars: DataFrame, zones: DataFrame, tz: str) -> DataFrame:
@@ -101,6 +131,24 @@ def zones_by_session(bars: DataFrame, zones: DataFrame, tz: str) -> DataFrame:
     return days.join(bars.select("symbol", "session_date").distinct(), ["symbol", "session_date"]).select("symbol", "session_date", "zone_id")
 
 
+def daily_map(bars: DataFrame, zones: DataFrame, episodes: DataFrame, tz: str) -> DataFrame:
+    """symbol, session_date, kind, starts, ends, zone_id, price, low, high, label: what a chart of each session shows.
+
+    kind close: the bars' closes; zone: level and band of the zones that live on that local date; episode: a mark at the touch,
+    with the nearest bar's close and the outcome. A touch belongs to the session of its UTC date, as the surveyed engine has it.
+    """
+    null = {"starts": "timestamp", "ends": "timestamp", "zone_id": "int", "price": "double", "low": "double", "high": "double", "label": "string"}
+    order = ["symbol", "session_date", "kind", *null]
+    rows = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumns({c: F.lit(None).cast(t) for c, t in null.items() if c not in df.columns}).select(order)
+    closes = rows(bars.select("symbol", "session_date", F.col("timestamp").alias("starts"), F.col("close").alias("price")), "close")
+    bands = zones.select("symbol", F.col("id").alias("zone_id"), F.col("level").alias("price"), (F.col("level") - F.col("width")).alias("low"), (F.col("level") + F.col("width")).alias("high"), F.col("type").alias("label"))
+    live = rows(zones_by_session(bars, zones, tz).join(bands, ["symbol", "zone_id"]), "zone")
+    marks = nearest_bars(episodes, bars).join(episodes.select("symbol", "zone_id", "touch_time", "outcome_time", "outcome"), ["symbol", "zone_id", "touch_time"])
+    marks = marks.select("symbol", F.to_date("touch_time").alias("session_date"), F.col("touch_time").alias("starts"), F.col("outcome_time").alias("ends"), "zone_id", F.col("touch_price").alias("price"), F.col("outcome").alias("label"))
+    marks = marks.join(bars.select("symbol", "session_date").distinct(), ["symbol", "session_date"], "left_semi")
+    return closes.unionByName(live).unionByName(rows(marks, "episode"))
+
+
 def histograms(episodes: DataFrame, bins: int = 50) -> DataFrame:
     """metric, bin, n: values of bars_to_outcome, max_favorable and max_adverse from 0 to their 99th percentile, in equal bins."""
     values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("bars_to_outcome", "max_favorable", "max_adverse")))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "6g") -> SparkSession:
@@ -21,6 +21,24 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory:
     return ship(made)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only on a local master where that is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidegauge-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df worked out once and written to the checkpoint folder, so that what follows reads it and a lost executor costs no more."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors' Python once a context, so that their workers can import it wherever the driver found it."""
     context = spark.sparkContext

@@ -12,20 +12,23 @@ REQUIRED = ("timestamp", *PRICES, "volume")
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Lower-case names, the required columns checked and typed, times in UTC, NaN turned into null, and a symbol (empty where there is none)."""
+    """Lower-case names, the required columns checked and typed, times in UTC, NaN turned into null, and a symbol (empty where there is none).
+
+    Volumes are doubles, as files may hold 100.0 or fractions; whole numbers stay exact.
+    """
     df = df.toDF(*(c.lower() for c in df.columns))
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
     prices = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in PRICES}
-    df = df.withColumns(prices | {"timestamp": F.col("timestamp").cast("timestamp"), "volume": F.col("volume").cast("long")})
+    df = df.withColumns(prices | {"timestamp": F.col("timestamp").cast("timestamp"), "volume": F.nanvl(F.col("volume").cast("double"), F.lit(None).cast("double"))})
     return df if "symbol" in df.columns else df.withColumn("symbol", F.lit(""))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All files as one table with file_ord, the file's place in paths; .parquet is Parquet, anything else CSV with a header."""
     if not paths:
-        return spark.createDataFrame([], "timestamp timestamp, open double, high double, low double, close double, volume long, symbol string, file_ord int")
+        return spark.createDataFrame([], "timestamp timestamp, open double, high double, low double, close double, volume double, symbol string, file_ord int")
     read = lambda p: spark.read.parquet(p) if p.lower().endswith(".parquet") else spark.read.option("header", True).csv(p)
     parts = [normalise(read(p)).withColumn("file_ord", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -22,29 +22,55 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def zone_rows(zones: DataFrame) -> DataFrame:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c)
-    return zones.select("id", "type", "level", "width", "p_value", "is_significant", F.size("touches").alias("n_touches"), iso("activation_time"), iso("expiry_time"))
+    return zones.select("id", "type", "level", "width", "p_value", "is_significant", F.size("touches").alias("n_touches"), iso("activation_time"), iso("expiry_time"), "symbol")
 
 
 def statistics_tree(rates: DataFrame, metrics: DataFrame, intervals: DataFrame) -> dict:
-    """The statistics by stratum, nested as in the JSON file; strata are a few dozen rows a symbol."""
+    """The statistics by stratum, nested as in the JSON file; under each symbol's name where the bars have symbols. Strata are a few dozen rows a symbol."""
     out: dict = {}
-    for r in rates.orderBy("stratum").collect():
-        own = out.setdefault(r["stratum"], {"n_episodes": r["n_episodes"], "n_invalid_episodes": r["n_invalid"], "outcome_distribution": {}, "outcome_rates": {}, "outcome_rates_ci": {}, "bootstrapped_metrics": {}})
+    for r in rates.orderBy("symbol", "stratum").collect():
+        own = out.setdefault(r["symbol"], {}).setdefault(r["stratum"], {"n_episodes": r["n_episodes"], "n_invalid_episodes": r["n_invalid"], "outcome_distribution": {}, "outcome_rates": {}, "outcome_rates_ci": {}, "bootstrapped_metrics": {}})
         if r["n_episodes"]:
             own["outcome_distribution"][r["outcome"]], own["outcome_rates"][r["outcome"]], own["outcome_rates_ci"][r["outcome"]] = r["n"], r["rate"], [r["ci_low"], r["ci_high"]]
     for r in metrics.join(intervals, ["symbol", "stratum", "metric"]).collect():
-        out[r["stratum"]]["bootstrapped_metrics"][r["metric"]] = {
+        out[r["symbol"]][r["stratum"]]["bootstrapped_metrics"][r["metric"]] = {
             "mean": r["mean"], "mean_ci": [r["mean_low"], r["mean_high"]], "median": r["median"], "median_ci": [r["median_low"], r["median_high"]], "p25": r["p25"], "p75": r["p75"],
         }
-    return out
+    return out[""] if set(out) == {""} else out
+
+
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def file_hashes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """SHA-256 of each file, read by the executors."""
-    return {r["path"]: r["hash"] for r in spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("hash")).collect()} if paths else {}
+    """SHA-256 of each file, those of folders too, read as a stream, so that size doesn't matter."""
+    out, digest = {}, spark._jvm.org.apache.commons.codec.digest.DigestUtils
+    for path in paths:
+        fs, where = _at(spark, path)
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            found = files.next().getPath()
+            stream = fs.open(found)
+            try:
+                out[found.toString()] = digest.sha256Hex(stream)
+            finally:
+                stream.close()
+    return out
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, wherever the path points."""
+    fs, where = _at(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def write_metadata(spark: SparkSession, folder: str, command: str, args: dict, paths: list[str], config) -> None:
     found = {"run_timestamp_utc": datetime.now(timezone.utc).isoformat(), "command": command, "args": args, "code_sha256": hashlib.sha256(Path(__file__).read_bytes()).hexdigest(), "data_sha256": file_hashes(spark, paths), "config": dataclasses.asdict(config)}
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / "run_metadata.json").write_text(json.dumps(found, indent=2, default=str))
+    write_text(spark, f"{folder}/run_metadata.json", json.dumps(found, indent=2, default=str))
