@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -374,6 +376,8 @@ def test_repeated_rows_spread(spark, monkeypatch):
     numbers = Counter((r["doc_id"], r["text"], r["at"]) for r in common.numbered(table, "at").collect())
     alike = Counter(rows)
     assert numbers == Counter((*row, i) for row, n in alike.items() for i in range(n))
+    apart = Counter((r["doc_id"], r["text"], r["at"]) for r in common.spread(table, "at").collect())
+    assert apart == Counter((*row, i if n > common.FEW else 0) for row, n in alike.items() for i in range(n))
     found = shards.scattered(table, 20).groupBy("bucket_").count().collect()
     assert sum(r["count"] for r in found) == len(rows) and max(r["count"] for r in found) < 2 * len(rows) / 20
     found = suffixes.in_blocks(table, 10).groupBy("block_").count().collect()
@@ -383,6 +387,31 @@ def test_repeated_rows_spread(spark, monkeypatch):
     assert sorted(map(repr, once)) == sorted(map(repr, shards.op10(table.repartition(7)).collect()))
 
 
+@pytest.mark.parametrize("hot", [0, 30])
+def test_suffix_dedup_of_a_hot_line(documents, monkeypatch, hot):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(30))
+    line = "one line of fifty bytes or more that a third of all the texts have"
+    rows = [(i, f"{word()}{line}{word()}" if i % 3 else word() * 3) for i in range(400)] + [(i, line[: 40 + i % 30] + word()) for i in range(400, 460)] + [(5, line * 2), (None, line)]
+    rows += [(r["doc_id"] + 1000, r["text"]) for r in documents.select("doc_id", "text").limit(60).collect()]
+    blocks = {i: pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()), "text": pa.array([r[1] for r in part]), "block_": [i] * len(part)}) for i, part in enumerate((rows[::2], rows[1::2]))}
+    monkeypatch.setattr(suffixes, "HOT", hot)  # within this process; the workers keep theirs
+    sent = pa.concat_tables([suffixes._send_digits(3, 50, 32)(t) for t in blocks.values()])
+    mask = pa.concat_tables([suffixes._repeated_digits(sent.filter(pc.equal(sent["part"], r))) for r in range(3) if pc.any(pc.equal(sent["part"], r)).as_py()])
+    own = {i: mask.filter(pc.equal(mask["block_"], i)) for i in blocks}
+    contexts = pa.concat_tables([suffixes._send_contexts(3, 50, 32)(blocks[i], own[i]) for i in blocks])
+    assert max(contexts["part"].to_pylist()) >= 3 and (hot == 0 or min(contexts["part"].to_pylist()) < 3)
+    bits = pa.concat_tables([suffixes._judge(3, 50, 32)(contexts.filter(pc.equal(contexts["part"], r))) for r in sorted(set(contexts["part"].to_pylist()))])
+    answers = pa.concat_tables([mask.append_column("is_bits", pa.array([False] * len(mask))), bits.append_column("is_bits", pa.array([True] * len(bits)))])
+    got = Counter()
+    for i, t in blocks.items():
+        block, gone = suffixes._removed(t, answers.filter(pc.equal(answers["block_"], i)), 3, 50, 32)
+        for d, a, b in zip(t["doc_id"].to_pylist(), block.offsets[:-1], block.offsets[1:], strict=True):
+            got[(d, b - a, gone[a:b].sum(), hashlib.sha256(block.data[a:b][~gone[a:b]].tobytes()).hexdigest())] += 1
+    want = _brute_removed(rows)
+    assert got == Counter({(d, n, g, h): k for (d, n, g, _, h), k in want.items()})
+
+
 def test_suffix_dedup_of_rows_repeated_over_blocks(spark):
     line = "a line of more than fifty bytes that stands in several texts, again"
     rows = [(1, line)] * 60 + [(2, f"before {line} after")] * 60 + [(None, line)] * 60 + [(3, "short")] * 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import free_name, numbered, whole_text
+from tidegauge.llm.common import free_name, spread, whole_text
 
 #: Records of a bucket, about; buckets of a run of buckets that one window numbers; shards.
 BUCKET_ROWS, RUN, SHARDS, SEED = 256, 4096, 8, 7
@@ -25,17 +25,17 @@ def _shuffled(seed: int):
 
 
 def scattered(docs: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
-    """bucket_ and record_, a struct of order_ and the columns of docs; the hash takes in each row's number among those alike."""
+    """bucket_ and record_, a struct of order_ and the columns of docs; the hash takes in what tells rows alike apart."""
     number = free_name(docs, "number_")
     order = F.xxhash64(*docs.columns, number, F.lit(seed))
-    records = numbered(docs, number).select(F.struct(order.alias("order_"), *docs.columns).alias("record_"))
+    records = spread(docs, number).select(F.struct(order.alias("order_"), *docs.columns).alias("record_"))
     return records.select(F.pmod(F.col("record_.order_"), F.lit(buckets)).alias("bucket_"), "record_")
 
 
 def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """docs with size, text_crc32, shard and slot: the rows in one seeded random order, dealt to the shards in turn.
 
-    First pass: a seeded hash of all columns, and of the row's number among rows alike in all of them, scatters rows uniformly
+    First pass: a seeded hash of all columns, and of what tells rows alike in all of them apart, scatters rows uniformly
     to buckets, whose number follows the rows, so that each is small however many rows are equal.
     Second pass: each bucket is put in order, then shuffled by Fisher-Yates with keyed draws; no draw depends on tasks or
     partitions, so reruns and retries agree. The row after those of all buckets before it goes to the next shard in turn:
