@@ -273,6 +273,74 @@ def test_links_of_any_threshold_come_once(spark):
         assert Counter((r["a"], r["b"]) for r in simhash.links(table, threshold).collect()) == want
 
 
+def _similar(rows, k=5, least=0.8):
+    """doc_id to a name of its group: texts linked where their shingle sets have that Jaccard similarity."""
+    sets, owners = {}, defaultdict(list)
+    for i, t in rows:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))) if words else frozenset()
+        for x in sets[i]:
+            owners[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in sets.items():
+        shared = Counter(j for x in own for j in owners[x] if j > i)
+        for j, n in shared.items():
+            if n >= least * (len(own) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    return {i: find(i) for i in sets}
+
+
+def test_meetings_equal_brute_force(spark, medium):
+    texts = [r["text"] for r in spark.read.parquet(f"{medium}/documents.parquet").limit(150).collect() if r["text"]]
+    rng = random.Random(6)
+    for t in texts[:40]:  # near copies of one text and of several
+        words = t.split(" ")
+        for _ in range(8):
+            words = [w if rng.random() > 0.005 else "other" for w in words]
+            texts.append(" ".join(words))
+    prints = {simhash.wide_fingerprint(t, 5, 4).tobytes() for t in texts}
+    table = spark.createDataFrame([(p,) for p in prints], "prints binary").withColumn("node", F.xxhash64("prints"))
+    nodes = {r["node"]: np.frombuffer(r["prints"], np.int64) for r in table.collect()}
+    homes = {n: {(i, pair, int(simhash.anchors(p[i : i + 1], pair, 0)[0][0])) for i in range(4) for pair in simhash.ALL_TABLES} for n, p in nodes.items()}
+    most = simhash.apart_at_most(0.8, 128)
+    names = sorted(nodes)
+    near = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if homes[a] & homes[b] and np.bitwise_count((nodes[a] ^ nodes[b])[:2].view(np.uint64)).sum() <= most]
+    assert len(near) > 100
+
+    def groups(links):
+        root = {n: n for n in names}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return Counter(frozenset(g) for g in [[n for n in names if find(n) == r] for r in {find(n) for n in names}])
+
+    for cell in (simhash.CELL, 3):
+        links = [(r["a"], r["b"]) for r in simhash.meetings(table, 0.8, 2, cell).collect()]
+        assert len(links) == len(set(links)) and set(links) <= set(near) and groups(links) == groups(near)
+
+
+def test_similar_texts_are_found(spark, medium, odd_documents, no_documents):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    group = _similar(rows)
+    left = Counter(group[r["doc_id"]] for r in simhash.keep_dissimilar(docs).collect())
+    assert set(left) == set(group.values()) and sum(left.values()) <= 1.01 * len(left)
+    for table in (odd_documents, no_documents):
+        found = simhash.keep_dissimilar(table)
+        assert found.columns == table.columns and found.count() == (6 if table is odd_documents else 0)
+
+
 def _base(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
