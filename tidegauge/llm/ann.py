@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidegauge.session import cut
 
 #: Projections, share of them in which a candidate must fall into the query's window, first half-width of a window and its
-#: growth, in standard deviations of the block's projections; share of a block to verify at least, and multiple of k.
-PROJECTIONS, COLLISIONS, FIRST, GROWTH, VERIFY, LEAST, SEED = 64, 0.6, 0.4, 1.07, 0.4, 32, 11
-#: Vectors of a block, queries of a query block.
-BLOCK, QUERIES = 8192, 512
+#: growth, in standard deviations of the block's projections; share of a block to verify at least.
+PROJECTIONS, COLLISIONS, FIRST, GROWTH, VERIFY, SEED = 64, 0.6, 0.4, 1.07, 0.5, 11
+#: Vectors of a block, queries of a query block, query blocks that one task takes for a block.
+BLOCK, QUERIES, TURNS = 8192, 512, 4
 K, EVERY = 20, 20
 
 
@@ -29,23 +29,27 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = SEED):
         self.ids, self.vectors = ids, vectors
-        squares = (vectors * vectors).sum(1)
+        scaled = vectors * 2.0 ** -np.frexp(np.abs(vectors).max())[1]  # so that squares of huge components stay finite
+        squares = (scaled * scaled).sum(1)
         tail = np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]
         self.directions = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         self.length = float(np.sqrt(squares.max()))
-        values = np.round(np.concatenate([vectors, tail], axis=1) @ self.directions, 9).T
+        values = np.round(np.concatenate([scaled, tail], axis=1) @ self.directions, 9).T
         order = np.argsort(values, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(values, order, axis=1)
         self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)  # of each vector in each sorted array
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
+        # The sorted arrays one after the other, each moved to a range of its own, so that one search finds all windows' edges.
+        self.unit, self.shift = float(np.abs(values).max()) or 1.0, 4.0 * np.arange(PROJECTIONS)
+        self.sorted = (np.take_along_axis(values, order, axis=1) / self.unit + self.shift[:, None]).ravel()
         self.n_ids = len(np.unique(ids))
         self.step = float(values.std()) or 1.0
         self.level = 15
 
     def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
         """For each vector, in how many sorted arrays it lies in the query's window."""
-        low = np.array([row.searchsorted(c - half, "left") for row, c in zip(self.sorted, centre, strict=True)])
-        high = np.array([row.searchsorted(c + half, "right") for row, c in zip(self.sorted, centre, strict=True)])
+        edge = lambda x: np.clip(x / self.unit, -1.5, 1.5) + self.shift
+        before = len(self.ids) * np.arange(PROJECTIONS)
+        low, high = self.sorted.searchsorted(edge(centre - half), "left") - before, self.sorted.searchsorted(edge(centre + half), "right") - before
         inside = self.place - low.astype(self.place.dtype)[:, None] < (high - low).astype(self.place.dtype)[:, None]
         return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
 
@@ -53,7 +57,7 @@ class Index:
         """How many ids the vectors at these positions have."""
         return len(found) if self.n_ids == len(self.ids) else len(np.unique(self.ids[found]))
 
-    def search(self, qid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, qid: int, query: np.ndarray, k: int, verify: float = VERIFY) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the vectors verified for the query; those of its own id are left out.
 
         Level by level the windows widen by GROWTH, and with them the collisions grow; the first level at which vectors
@@ -61,8 +65,9 @@ class Index:
         """
         others = self.ids != qid
         n = self.n_ids - (not others.all())
-        need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(LEAST * k, int(VERIFY * n)))
-        centre = np.concatenate([query / np.linalg.norm(query) * self.length, [0.0]]) @ self.directions
+        need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(k, int(np.ceil(verify * n))))
+        query_ = query * 2.0 ** -np.frexp(np.abs(query).max())[1]
+        centre = np.concatenate([query_ / np.linalg.norm(query_) * self.length, [0.0]]) @ self.directions
         reach, enoughs = {}, {}
 
         def full(level: int) -> bool:
@@ -82,7 +87,8 @@ class Index:
             low, high = (low, middle) if full(middle) else (middle, high)
         self.level = high
         found = reach[high]
-        return found, np.einsum("ij,j->i", self.vectors[found], query)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return found, np.einsum("ij,j->i", self.vectors[found], query)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool):
@@ -98,14 +104,16 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool):
     return ids[order], scores[order]
 
 
-def _search(k: int):
+def _search(k: int, verify: float):
     def run(frames):
+        known, index = None, None
         for pdf in frames:
             for row in pdf.itertuples():
-                index = Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vs, np.float64).reshape(-1, row.dim))
+                if known != (row.dim, row.b):
+                    known, index = (row.dim, row.b), Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vs, np.float64).reshape(-1, row.dim))
                 out = []
                 for qid, query in zip(np.frombuffer(row.qids, np.int64), np.frombuffer(row.qvs, np.float64).reshape(-1, row.dim), strict=True):
-                    at, scores = index.search(qid, query, k + 1)
+                    at, scores = index.search(qid, query, k + 1, verify)
                     ids, scores = _best(index.ids[at], scores, k, index.n_ids < len(index.ids))
                     out.append((np.full(len(ids), qid), ids, scores))
                 q, i, s = map(np.concatenate, zip(*out, strict=True))
@@ -127,14 +135,16 @@ def dealt(vectors: DataFrame, parts: int) -> DataFrame:
     return vectors.withColumn("b", block).groupBy("dim", "b").applyInPandas(_pack, "dim int, b long, ids binary, vs binary")
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, verify: float = VERIFY) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k of largest inner product found among all others.
 
     Rows alike in id and vector count once, as queries and as candidates. Where an id has several vectors, each of them is a
     query and a candidate: a pair of ids comes once, with the best score of their vectors, so the k are k different vec_ids.
+    Null ids, and vectors that are null, empty, zero or not finite throughout, take no part; an empty table gives no rows.
+    Further columns of embeddings, whatever their names, are not read.
 
     Vectors are dealt to blocks by a hash of id and components; each block sorts all its vectors by PROJECTIONS random projections,
-    and each query's windows in it grow (the virtual rehashing) until VERIFY of the block fell into COLLISIONS of them; only
+    and each query's windows in it grow (the virtual rehashing) until the share `verify` of the block fell into COLLISIONS of them; only
     those are verified, exactly. A query block meets each block once; a block returns k rows a query. All vectors within a
     window's edge take part, so equal vectors are found together and ties go to the smaller id. Only vectors of the query's
     dimension are its candidates. Rows that share a query's id are not candidates of each other.
@@ -144,8 +154,8 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     blocks, query_blocks = n // BLOCK + 1, n_queries // QUERIES + 1
     queries = dealt(base.filter(F.col("id") % every == 0), query_blocks).withColumnsRenamed({"b": "q", "ids": "qids", "vs": "qvs"})
     packs = dealt(base, blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
-    pairs = packs.join(queries.hint("shuffle_hash"), ["dim", "q"]).repartition(blocks * query_blocks, "b", "q")
-    found = pairs.select("dim", "ids", "vs", "qids", "qvs").mapInPandas(_search(k), "query_id long, vec_id long, score double")
+    pairs = packs.join(queries.hint("shuffle_hash"), ["dim", "q"]).repartition(blocks * (query_blocks // TURNS + 1), "dim", "b", F.expr(f"q div {TURNS}")).sortWithinPartitions("dim", "b")
+    found = pairs.select("dim", "b", "ids", "vs", "qids", "qvs").mapInPandas(_search(k, verify), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
