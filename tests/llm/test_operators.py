@@ -139,6 +139,16 @@ def test_bad_names_are_blocked_under_each_parent(spark, medium):
     assert {r["page_id"] for r in pages if r["verdict"] == "block"} == bad and bad
 
 
+def test_a_list_beyond_the_constants_is_joined(spark, medium):
+    pages = spark.read.parquet(f"{medium}/pages.parquet").select("page_id", "url")
+    pages = pages.union(pages.limit(20)).union(spark.createDataFrame([(-1, None), (-2, "http://")], pages.schema))
+    key = lambda rows: Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in rows.collect())
+    want = key(urls.judge(pages))
+    assert key(urls.judge(pages, most_listed=5)) == want and {v for *_, v in want} == {"allow", "block"}
+    many = spark.range(300_000).selectExpr("concat('h', id, '.example') AS key").union(spark.createDataFrame([(h,) for h in urls.LISTED], "key string"))
+    assert key(urls.judge(pages, listed=many)) == want
+
+
 def test_pieces_decode_and_follow_the_library(spark, documents, odd_documents, no_documents):
     import sentencepiece
 

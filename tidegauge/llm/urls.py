@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import ascii_lower, packed
+from tidegauge.session import cut
 
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hosts that the production list blocks, with all their subdomains: each bad name under each parent domain of the corpus.
 BAD_NAMES, PARENTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{name}.{parent}" for name in BAD_NAMES for parent in PARENTS)
-#: A level of the cascade never takes more of the driver's memory than this; larger lists are refused.
-MAX_FILTER_BYTES = 64 << 20
+#: Listed keys of a corpus up to which the cascade is held as constants (some MB of bits in all); more of them meet the hosts in a join.
+MOST_LISTED = 1_000_000
 _WORD = 32
 
 
@@ -54,8 +55,6 @@ class Level:
         self.level, self.n = level, n
         self.bits = max(_WORD, ceil(-n * log(rate) / log(2) ** 2))
         self.hashes = max(1, round(-log2(rate)))
-        if self.bits // 8 > MAX_FILTER_BYTES:
-            raise ValueError(f"{n} keys need a filter of {self.bits // 8} bytes; the limit is {MAX_FILTER_BYTES}")
         places = keys.select(F.explode(F.array(*_places(F.col("key"), level, self.hashes, self.bits))).alias("p"))
         one = F.expr("shiftleft(1L, cast(p % 32 as int))")
         rows = places.groupBy(F.expr("p div 32").alias("w")).agg(F.bit_or(one).alias("b")).collect()  # bits / 32 rows at most
@@ -83,8 +82,8 @@ class Cascade:
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
         keys = universe.select("key").distinct()
-        inside = keys.join(listed.select("key").distinct(), "key", "left_semi")
-        outside = keys.join(listed.select("key").distinct(), "key", "left_anti")
+        marked = cut(keys.join(listed.select("key").distinct().withColumn("in_", F.lit(True)), "key", "left"))
+        inside, outside = marked.filter("in_").select("key"), marked.filter("in_ is null").select("key")
         n_in, n_out = inside.count(), outside.count()
         self.levels: list[Level] = []
         sides, n, rate = [inside, outside], n_in, min(0.5, max(1e-9, n_in / max(1, n_out) * 0.7))
@@ -102,22 +101,33 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules=RULES, listed=LISTED) -> DataFrame:
+def _blocked_by_join(out: DataFrame, listed: DataFrame) -> DataFrame:
+    """out with blocked_, by a join on the distinct hosts: for lists that no constant can hold."""
+    hosts = out.select("host").distinct().select("host", F.explode_outer(domains(F.col("host"))).alias("key"))
+    hit = hosts.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("blocked_", F.lit(True))
+    return out.join(hit, "host", "left").withColumn("blocked_", F.coalesce("blocked_", F.lit(False)))
+
+
+def judge(pages: DataFrame, rules=RULES, listed=LISTED, most_listed: int = MOST_LISTED) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     The longest fitting rule decides; without one the url is blocked if its host or a parent domain is listed, else allowed.
     listed: hosts, or a DataFrame with a column key. Membership comes from a Bloom filter cascade over all domains that the
     corpus has, held as constants of bounded size: no join, no shuffle of pages. Null urls and urls without :// have empty
-    host and path, fit no rule and are allowed. Columns of pages with our names give way.
+    host and path, fit no rule and are allowed. A list of more than most_listed keys is joined instead. Repeated rows are
+    judged alike, an empty table gives an empty one. Columns of pages with our names give way.
     """
     out = with_host_path(pages)
     universe = out.select("host").distinct().select(F.explode_outer(domains(F.col("host"))).alias("key")).filter(F.col("key").isNotNull())
     if not isinstance(listed, DataFrame):
         listed = pages.sparkSession.createDataFrame([(h.lower(),) for h in listed], "key string")
-    cascade = Cascade(universe, listed)
-    out = out.withColumns({"rule_": rule_of(rules), "domains_": domains(F.col("host"))})
-    blocked = F.exists("domains_", cascade.holds)
-    return out.withColumns({"rule": F.col("rule_")["rule"], "verdict": F.coalesce(F.col("rule_")["verdict"], F.when(blocked, "block").otherwise("allow"))}).drop("rule_", "domains_")
+    out = out.withColumn("rule_", rule_of(rules))
+    if listed.limit(most_listed + 1).count() > most_listed:
+        out = _blocked_by_join(out, listed)
+    else:
+        out = out.withColumn("blocked_", F.exists(domains(F.col("host")), Cascade(universe, listed).holds))
+    verdict = F.coalesce(F.col("rule_")["verdict"], F.when(F.col("blocked_"), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col("rule_")["rule"], "verdict": verdict}).drop("rule_", "blocked_")
 
 
 def op2(pages: DataFrame) -> DataFrame:
