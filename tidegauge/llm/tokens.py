@@ -33,23 +33,35 @@ class Counter:
     """Counts tokens as the library does, remembering what each string between blanks came to.
 
     Blanks separate pre-tokens and neither composition nor lower-casing crosses one, so a text's count is the sum over its
-    strings between blanks. A string is cut into pre-tokens; those in `whole` are one token each, others are merged.
+    strings between blanks. A string is cut into pre-tokens; those in `whole` are one token each, others are merged. Printable
+    ASCII is cut by the pattern; other strings by the library's own normaliser and pre-tokeniser, which give the bytes of each
+    pre-token as the vocabulary writes them. Only a string with a special token inside goes to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.normal, self.parts = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = prove_whole(path)
         self.cut = regex.compile(PRE_TOKEN).findall
         self.seen: dict[str, int] = {}
 
+    def pre_tokens(self, s: str) -> list[str] | None:
+        """The pre-tokens of a string between blanks, as the vocabulary writes them; None if it has a special token inside."""
+        if any(t in s for t in self.special):
+            return None
+        if s.isascii() and s.isprintable():
+            return self.cut(s.lower())
+        return [p for p, _ in self.parts(self.normal(s))]
+
     def string(self, s: str) -> int:
-        if not (s.isascii() and s.isprintable()) or any(t in s for t in self.special):
+        found = self.pre_tokens(s)
+        if found is None:
             return len(self.library.encode(s, add_special_tokens=False).ids)
         merge, whole = self.library.model.tokenize, self.whole
-        return sum(1 if p in whole else len(merge(p)) for p in self.cut(s.lower()))
+        return sum(1 if p in whole else len(merge(p)) for p in found)
 
     def text(self, text: str) -> int:
         seen = self.seen
@@ -71,7 +83,7 @@ class Counter:
 
 @lru_cache(2)
 def prove_whole(path: str) -> frozenset[str]:
-    """ASCII strings that are one token as a pre-token: the vocabulary's words that its own merges put together again.
+    """Strings that are one token as a pre-token, in the vocabulary's writing of bytes: its words that its own merges put together again.
 
     Worked out from the file alone, before any text is read: a word counts only if the merges, applied to its characters,
     end in that single token.
@@ -81,7 +93,7 @@ def prove_whole(path: str) -> frozenset[str]:
     end = model["end_of_word_suffix"]
     merge = Tokenizer.from_file(path).model.tokenize
     words = (v[: -len(end)] for v in model["vocab"] if v.endswith(end))
-    return frozenset(w for w in words if w and w.isascii() and len(merge(w)) == 1)
+    return frozenset(w for w in words if w and len(merge(w)) == 1)
 
 
 @lru_cache(2)
