@@ -167,6 +167,27 @@ def test_pieces_decode_and_follow_the_library(spark, documents, odd_documents, n
     assert len(odd) == odd_documents.count() and all(r["lossless"] for r in odd) and pieces.encode(no_documents).count() == 0
 
 
+def test_dropout_equals_a_plain_agenda(documents):
+    """Whole texts, uncut: while any neighbouring pair is a piece whose merge type the variant doesn't skip, the best-scored, leftmost one is merged."""
+    own = pieces.pieces(pieces.vocabulary_path())
+
+    def plain(text, variant):
+        parts = list("▁" + text.replace(" ", "▁"))
+        seed = (pieces.SEED + variant * 0x9E3779B97F4A7C15) % 2**64
+        open_ = lambda a, b: a + b in own.rank and xxhash.xxh64_intdigest(f"{a} {b}".encode(), seed) >= pieces.DROPOUT * 2**64
+        while found := [(own.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if open_(a, b)]:
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [x for p in parts for x in ([own.ids[p]] if p in own.ids else [own.bytes[b] for b in p.encode()])]
+
+    texts = [(r["text"] or "")[:240].replace("▁", "") for r in documents.limit(25).collect()]
+    texts += ["internationalisation" * 12, "Ünïcödé 漢字 x\u2003y 🙂", "a  b   c", "x=1;y[2]+=3.14", " "]
+    for text in texts:
+        for variant in range(pieces.VARIANTS):
+            got = own.encode(text, pieces.DROPOUT, variant)
+            assert got == plain(text, variant) and own.decode(got) == text, text
+
+
 def test_short_and_long_agendas_agree(documents):
     own, other = pieces.Pieces(pieces.vocabulary_path()), pieces.Pieces(pieces.vocabulary_path())
     other._merged_short = None
