@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the shared one; what is written there goes when this process ends."""
+    folder, jvm, conf = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+        except Exception:  # the session has ended before: the folder stays
+            return
+
+    atexit.register(remove)
+    return folder
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors' Python once a context, so that their workers can import it wherever the driver found it."""
     context = spark.sparkContext
