@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 from tidegauge.llm.fixity import OP4_SQL
+from tidegauge.llm.interactions import OP11_SQL
 from tidegauge.llm.urls import OP2_SQL
 
 
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_source_mix": _query("mixing", "op8", "documents"),
     "op9_token_counts": _query("tokens", "op9", "documents"),
     "op10_shards": _query("shards", "op10", "documents"),
+    "op11_filter_audit": _query("interactions", "op11", "documents", "labels"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL, "op11_filter_audit": OP11_SQL}
