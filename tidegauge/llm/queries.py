@@ -7,6 +7,7 @@ from importlib import import_module
 from tidegauge.llm.fixity import OP4_SQL
 from tidegauge.llm.interactions import OP11_SQL
 from tidegauge.llm.repair import OP12_SQL
+from tidegauge.llm.subtrees import OP13_SQL
 from tidegauge.llm.urls import OP2_SQL
 
 
@@ -36,6 +37,7 @@ QUERIES = {
     "op10_shards": _query("shards", "op10", "documents"),
     "op11_filter_audit": _query("interactions", "op11", "documents", "labels"),
     "op12_conversation_repair": _query("repair", "op12", "conversations"),
+    "op13_subtree_dedup": _query("subtrees", "op13", "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_subtree_dedup": OP13_SQL}
