@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import EpisodeConfig
+from tidegauge.operators.halo import bounded, numbered
 
 MEASURES = ("rsi", "atr", "rvol", "stoch_k", "stoch_d")
 SCHEMA = (
@@ -85,8 +86,8 @@ def replay(pdf: pd.DataFrame, config: EpisodeConfig) -> pd.DataFrame:
 
 def spacing(bars: DataFrame) -> DataFrame:
     """symbol and the median microseconds between its bars; a minute if there is none above zero."""
-    step = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp")))
-    middle = bars.select("symbol", step.alias("step")).groupBy("symbol").agg(F.median("step").alias("m"))
+    steps = bounded(bars.select("symbol", "timestamp"), 1, 0, lambda order: {"step": F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(order))})
+    middle = steps.groupBy("symbol").agg(F.median("step").alias("m"))
     return middle.select("symbol", F.when(F.col("m") > 0, F.col("m")).otherwise(60e6).alias("spacing"))
 
 
@@ -97,10 +98,10 @@ def detect_episodes(bars: DataFrame, zones: DataFrame, config: EpisodeConfig | l
     A zone meets the bars of its days in an equi-join on symbol and date, and is then replayed by itself; its bars are
     bounded by its expiry, so is the group.
     """
-    order = Window.partitionBy("symbol").orderBy("timestamp")
     flags = {c: F.coalesce(F.col(c), F.lit(False)) if c in bars.columns else F.lit(False) for c in ("is_outlier", "has_gap")}
-    live = bars.withColumns(flags | {"bar_idx": (F.row_number().over(order) - 1).cast("long"), "prev_close": F.lag("close").over(order), "micros": F.unix_micros("timestamp"), "day_": F.to_date("timestamp")})
-    live = live.join(spacing(bars), "symbol").select("symbol", "day_", "timestamp", "micros", "bar_idx", "high", "low", "close", "prev_close", "is_outlier", "has_gap", "is_rth", "minute_of_day", "spacing", *MEASURES)
+    own = bars.select("symbol", "timestamp", "high", "low", "close", *(c.alias(n) for n, c in flags.items()), "is_rth", "minute_of_day", *MEASURES)
+    live = bounded(numbered(own, "bar_idx"), 1, 0, lambda order: {"prev_close": F.lag("close").over(order)}, place="bar_idx")
+    live = live.withColumns({"micros": F.unix_micros("timestamp"), "day_": F.to_date("timestamp")}).join(spacing(bars), "symbol").select("symbol", "day_", "timestamp", "micros", "bar_idx", "high", "low", "close", "prev_close", "is_outlier", "has_gap", "is_rth", "minute_of_day", "spacing", *MEASURES)
     days = F.sequence(F.to_date("activation_time"), F.to_date("expiry_time"))
     extra = [run] if run else []
     spans = zones.select(*extra, "symbol", F.col("id").alias("zone_id"), F.col("type").alias("zone_type"), "level", "width", "activation_time", "expiry_time", F.explode(days).alias("day_"))

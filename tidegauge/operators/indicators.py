@@ -4,28 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidegauge.config import IndicatorConfig
+from tidegauge.operators.halo import bounded, numbered, running
+from tidegauge.session import cut
 
 COLUMNS = ("atr", "rsi", "rvol", "stoch_k", "stoch_d")
 ROWS_A_SESSION = 390
 
 
-def _order():
-    return Window.partitionBy("symbol").orderBy("timestamp")
-
-
 def indexed(bars: DataFrame) -> DataFrame:
     """bars with bar_idx, the place of the bar among its symbol's, from 0."""
-    return bars.withColumn("bar_idx", (F.row_number().over(_order()) - 1).cast("long"))
+    return numbered(bars, "bar_idx")
+
+
+def _tr(order: WindowSpec) -> dict[str, Column]:
+    before = F.lag("close").over(order)
+    return {"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))}
+
+
+def _gain_and_loss(order: WindowSpec) -> dict[str, Column]:
+    change = F.col("close") - F.lag("close").over(order)
+    return {"gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))}
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(_order())
-    return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    return bounded(bars, 1, 0, _tr)
 
 
 def _decays(known: np.ndarray, alpha: float) -> float:
@@ -86,37 +93,46 @@ def smoothed(bars: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
             pdf[name] = pd.Series(np.concatenate([head, values])).ewm(span=span, adjust=False).mean().to_numpy()[len(head):]
         return pdf[schema.names]
 
-    days = bars.withColumn("day_", F.to_date("timestamp"))
+    days = cut(bars.withColumn("day_", F.to_date("timestamp")))  # read twice
     needed = days.select("symbol", "day_", "timestamp", *{column for column, _ in columns.values()})
     starts = needed.groupBy("symbol", "day_").applyInPandas(summarise, summary).groupBy("symbol").applyInPandas(chain, carry)
     return days.join(starts, ["symbol", "day_"]).groupBy("symbol", "day_").applyInPandas(recur, schema)
 
 
 def relative_volume(bars: DataFrame, sessions: int) -> DataFrame:
-    """bars with avg_volume_lookback and rvol: volume against its mean over a long trailing window, from differences of running sums."""
+    """bars with avg_volume_lookback and rvol, and place_ by which they were met: volume against its mean over a long trailing window, from differences of running sums.
+
+    The sum that leaves the window is met by its place, so the window's length costs nothing and no task holds it.
+    """
     if sessions <= 0:
-        return bars.withColumn("rvol", F.lit(None).cast("double"))
-    width, order = sessions * ROWS_A_SESSION, _order()
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = bars.withColumns({"s_": F.sum("volume").over(run), "c_": F.count("volume").over(run)})
-    total, count = (F.col(c) - F.coalesce(F.lag(c, width).over(order), F.lit(0)) for c in ("s_", "c_"))
-    mean = F.when(count >= max(1, width // 10), total / count)
-    out = out.withColumn("avg_volume_lookback", mean).drop("s_", "c_")
+        return numbered(bars, "place_").withColumn("rvol", F.lit(None).cast("double"))
+    width = sessions * ROWS_A_SESSION
+    out = running(bars, {"place_": F.lit(1).cast("long"), "s_": F.col("volume"), "c_": F.col("volume").isNotNull().cast("long")})
+    out = cut(out)  # met by itself
+    left = out.select(F.col("symbol").alias("symbol__"), (F.col("place_") + width).alias("place__"), F.col("s_").alias("s0_"), F.col("c_").alias("c0_"))
+    out = out.join(left, F.col("symbol").eqNullSafe(F.col("symbol__")) & (F.col("place_") == F.col("place__")), "left")
+    total, count = (F.col(f"{c}_") - F.coalesce(f"{c}0_", F.lit(0)) for c in "sc")
+    out = out.withColumn("avg_volume_lookback", F.when(count >= max(1, width // 10), total / count)).drop("s_", "c_", "s0_", "c0_", "symbol__", "place__")
     return out.withColumn("rvol", F.col("volume") / (F.col("avg_volume_lookback") + 1e-12))
 
 
+def _stochastics(n: int, d: int):
+    def k(order: WindowSpec) -> dict[str, Column]:
+        least, most = F.min("low").over(order.rowsBetween(1 - n, 0)), F.max("high").over(order.rowsBetween(1 - n, 0))
+        k = F.try_divide(100 * (F.col("close") - least), F.nullif(most - least, F.lit(0.0)))
+        return {"stoch_k": F.when(k.isNotNull(), F.least(F.greatest(k, F.lit(0.0)), F.lit(100.0)))}
+
+    return k, lambda order: {"stoch_d": F.avg("stoch_k").over(order.rowsBetween(1 - d, 0))}
+
+
 def stochastics(bars: DataFrame, n: int, d: int) -> DataFrame:
-    least, most = F.min("low").over(_order().rowsBetween(1 - n, 0)), F.max("high").over(_order().rowsBetween(1 - n, 0))
-    k = F.try_divide(100 * (F.col("close") - least), F.nullif(most - least, F.lit(0.0)))
-    out = bars.withColumn("stoch_k", F.when(k.isNotNull(), F.least(F.greatest(k, F.lit(0.0)), F.lit(100.0))))
-    return out.withColumn("stoch_d", F.avg("stoch_k").over(_order().rowsBetween(1 - d, 0)))
+    return bounded(bars, n + d, 0, *_stochastics(n, d))
 
 
 def add_indicators(bars: DataFrame, config: IndicatorConfig) -> DataFrame:
-    """bars with atr, rsi, avg_volume_lookback, rvol, stoch_k and stoch_d; NaN is null."""
-    change = F.col("close") - F.lag("close").over(_order())
-    out = true_range(bars).withColumns({"gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
+    """bars with atr, rsi, avg_volume_lookback, rvol, stoch_k and stoch_d; NaN is null. Frames of rows share one pass over ranges."""
+    n, d = config.stoch_n, config.stoch_d
+    out = bounded(relative_volume(bars, config.rvol_lookback_sessions), n + d, 0, _tr, _gain_and_loss, *_stochastics(n, d), place="place_").drop("place_")
     out = smoothed(out, {"atr": ("tr", config.atr_n), "up_": ("gain_", config.rsi_n), "down_": ("loss_", config.rsi_n)})
     out = out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("atr", "up_", "down_")})
-    out = out.withColumn("rsi", 100 - 100 / (1 + F.col("up_") / (F.col("down_") + 1e-12))).drop("tr", "gain_", "loss_", "up_", "down_")
-    return stochastics(relative_volume(out, config.rvol_lookback_sessions), config.stoch_n, config.stoch_d)
+    return out.withColumn("rsi", 100 - 100 / (1 + F.col("up_") / (F.col("down_") + 1e-12))).drop("tr", "gain_", "loss_", "up_", "down_")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegauge.config import ZoneConfig
+from tidegauge.operators.halo import bounded, numbered
 
 
 def detect_pivots(bars: DataFrame, config: ZoneConfig) -> DataFrame:
@@ -14,13 +15,15 @@ def detect_pivots(bars: DataFrame, config: ZoneConfig) -> DataFrame:
     A high: at least the greatest high of the window less a tick, above the bar before, not below the bar after; a low alike
     the other way up. Windows that are cut short or hold an unknown value have none. A bar can be both.
     """
-    k, order = config.pivot_k, Window.partitionBy("symbol").orderBy("timestamp")
-    around = order.rowsBetween(-k, k)
-    seen = bars.withColumn("index", (F.row_number().over(order) - 1).cast("long"))
-    columns = {"confirm_time": F.lead("timestamp", k).over(order)}
-    for c, best in (("high", F.max), ("low", F.min)):
-        columns |= {f"{c}_n": F.count(c).over(around), f"{c}_best": best(c).over(around), f"{c}_before": F.lag(c).over(order), f"{c}_after": F.lead(c).over(order)}
-    seen = seen.withColumns(columns)
+    k = config.pivot_k
+
+    def frames(order: WindowSpec) -> dict[str, Column]:
+        around, columns = order.rowsBetween(-k, k), {"confirm_time": F.lead("timestamp", k).over(order)}
+        for c, best in (("high", F.max), ("low", F.min)):
+            columns |= {f"{c}_n": F.count(c).over(around), f"{c}_best": best(c).over(around), f"{c}_before": F.lag(c).over(order), f"{c}_after": F.lead(c).over(order)}
+        return columns
+
+    seen = bounded(numbered(bars.select("symbol", "timestamp", "session_date", "high", "low"), "index"), k, k, frames, place="index")
     full = 2 * k + 1
     up = (F.col("high_n") == full) & (F.col("high") >= F.col("high_best") - config.tick_size) & (F.col("high") > F.col("high_before")) & (F.col("high") >= F.col("high_after"))
     down = (F.col("low_n") == full) & (F.col("low") <= F.col("low_best") + config.tick_size) & (F.col("low") < F.col("low_before")) & (F.col("low") <= F.col("low_after"))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import DataQualityConfig
+from tidegauge.operators.halo import carried
 
 _BY = ("file_ord", "symbol")
 
 
-def _return(order) -> Column:
-    """Relative change of close against the last known close before it, among rows not dropped so far; infinite after a zero."""
-    known = F.last(F.when(F.col("dropped").isNull(), F.col("close")), ignorenulls=True)
-    before = known.over(order.rowsBetween(Window.unboundedPreceding, -1))
-    now = known.over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when((before == 0) & (now != 0), F.lit(float("inf"))).otherwise(F.try_divide(now, before) - 1)
+def _with_return(rows: DataFrame, name: str, **more: Column) -> DataFrame:
+    """rows with the relative change of close against the last known close before it, among rows not dropped so far, infinite after a zero; and more values carried over like that close."""
+    known = F.when(F.col("dropped").isNull(), F.col("close"))
+    rows = carried(rows, {"before_": known, **more}, F.col("timestamp"), _BY)
+    before, now = F.col("before_"), F.coalesce(known, F.col("before_"))
+    change = F.when((before == 0) & (now != 0), F.lit(float("inf"))).otherwise(F.try_divide(now, before) - 1)
+    return rows.withColumn(name, change).drop("before_")
 
 
 def bad_ohlc() -> Column:
@@ -32,18 +34,19 @@ def marked(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
     session_date, the threshold times the returns' sample deviation in the file and symbol. has_gap: more minutes than allowed
     since the survivor before it in the same session. Files are judged apart, as symbols are.
     """
-    order = Window.partitionBy(*_BY).orderBy("timestamp")
     no, dropped = F.lit(None).cast("string"), F.col("dropped")
     out = bars.withColumn("dropped", F.when(bad_ohlc(), "ohlc") if config.check_ohlc_integrity else no)
     if config.max_price_change_pct > 0:
-        spike = dropped.isNull() & F.coalesce(F.abs(_return(order)) * 100 > config.max_price_change_pct, F.lit(False))
-        out = out.withColumn("spike_", spike).withColumn("dropped", F.when(F.col("spike_"), "spike").otherwise(dropped)).drop("spike_")
+        spike = dropped.isNull() & F.coalesce(F.abs("r_") * 100 > config.max_price_change_pct, F.lit(False))
+        out = _with_return(out, "r_").withColumn("spike_", spike).withColumn("dropped", F.when(F.col("spike_"), "spike").otherwise(dropped)).drop("spike_", "r_")
     if config.min_volume > 0:
         low = dropped.isNull() & F.coalesce(F.col("volume") < config.min_volume, F.lit(False))
         out = out.withColumn("dropped", F.when(low, "volume").otherwise(dropped))
     stays, outlier, gap = dropped.isNull(), F.lit(False), F.lit(False)
+    last = {"last_": F.when(stays, F.struct("timestamp", "session_date"))} if config.handle_gaps else {}
+    if config.remove_outliers or config.handle_gaps:
+        out = _with_return(out, "r_", **last).withColumn("r_", F.when(stays, F.col("r_")))
     if config.remove_outliers:
-        out = out.withColumn("r_", F.when(stays, _return(order)))
         if "session_date" in bars.columns:
             session = Window.partitionBy(*_BY, "session_date")
             out = out.withColumn("m_", F.median("r_").over(session)).withColumn("mad_", F.median(F.abs(F.col("r_") - F.col("m_"))).over(session))
@@ -53,11 +56,10 @@ def marked(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
             limit = F.col("dev_") * config.outlier_std_threshold
         outlier = F.coalesce(F.abs("r_") > limit, F.lit(False))
     if config.handle_gaps:
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        last = F.last(F.when(stays, F.struct("timestamp", "session_date")), ignorenulls=True).over(before)
+        last = F.col("last_")
         minutes = (F.unix_micros("timestamp") - F.unix_micros(last["timestamp"])) / 60e6
         gap = stays & F.coalesce((last["session_date"] == F.col("session_date")) & (minutes > config.max_gap_minutes), F.lit(False))
-    return out.withColumns({"is_outlier": outlier, "has_gap": gap}).drop("r_", "m_", "mad_", "dev_")
+    return out.withColumns({"is_outlier": outlier, "has_gap": gap}).drop("r_", "m_", "mad_", "dev_", "last_")
 
 
 def validate(bars: DataFrame, config: DataQualityConfig) -> DataFrame:

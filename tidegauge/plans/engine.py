@@ -7,12 +7,13 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import EngineConfig, override
 from tidegauge.operators import indicators, quality, sessions
 from tidegauge.operators.episodes import detect_episodes
+from tidegauge.operators.halo import carried
 from tidegauge.operators.pivots import detect_pivots
 from tidegauge.operators.strata import bootstrap_intervals, metric_summary, outcome_rates, stratify
 from tidegauge.operators.zones import detect_zones
@@ -110,14 +111,15 @@ def sweep(bars: DataFrame, grid: list[dict]) -> DataFrame:
 def nearest_bars(episodes: DataFrame, bars: DataFrame) -> DataFrame:
     """symbol, zone_id, touch_time, bar_time and touch_price: the bar nearest to each touch, the earlier of two as near, and its close.
 
-    Both sides are laid in one order of time and looked at back and forth: an as-of join without a range join.
+    Both sides are laid in one order of time; a touch looks back and forth inside its day, and at what the days around hand on.
     """
     bar = F.struct(F.col("timestamp").alias("at"), F.col("close").alias("price")).alias("bar")
-    marks = episodes.select("symbol", F.col("touch_time").alias("t"), "zone_id").unionByName(bars.select("symbol", F.col("timestamp").alias("t"), F.lit(None).cast("int").alias("zone_id"), bar), allowMissingColumns=True)
-    order = Window.partitionBy("symbol").orderBy("t", F.col("zone_id").isNotNull())
-    back_order = Window.partitionBy("symbol").orderBy(F.desc("t"), F.col("zone_id").isNotNull())
-    seen = marks.withColumn("back", F.last("bar", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.withColumn("ahead", F.last("bar", True).over(back_order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = episodes.select("symbol", F.col("touch_time").alias("timestamp"), "zone_id").unionByName(bars.select("symbol", "timestamp", F.lit(None).cast("int").alias("zone_id"), bar), allowMissingColumns=True)
+    seen = marks.withColumn("t", F.col("timestamp"))
+    for side, ahead in (("back", False), ("ahead", True)):
+        # A bar at the touch's own time counts on either side: bars come first in the order looked along.
+        at = F.struct(F.col("t"), F.col("zone_id").isNull() if ahead else F.col("zone_id").isNotNull())
+        seen = carried(seen, {side: F.col("bar")}, at, ("symbol",), ahead)
     gap = lambda c: F.abs(F.unix_micros(F.col(c)["at"]) - F.unix_micros("t"))
     near = F.when(F.col("ahead").isNull() | (gap("back") <= gap("ahead")), F.col("back")).otherwise(F.col("ahead"))
     seen = seen.filter(F.col("zone_id").isNotNull()).withColumn("near", near)
