@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidegauge import cli
 from tidegauge.config import EngineConfig, EpisodeConfig, SessionConfig, ZoneConfig, override
 from tidegauge.functions.numbers import bootstrap_interval, exact_interval, tail
-from tidegauge.operators.episodes import MEASURES, replay
+from tests.plain import replay
+from tidegauge.operators.episodes import MEASURES, detect_episodes
 from tidegauge.operators.indicators import smoothed
 from tidegauge.operators.strata import tercile
 from tidegauge.operators.zones import merge_close, significant
@@ -38,7 +39,7 @@ def _bars(rows, **flags):
     return out
 
 
-@pytest.mark.parametrize(("rows", "flags", "want"), [
+SCENARIOS = [
     ([(101, 96, 96)], {}, [("BREAK", 0)]),
     ([(105, 98.5, 100)], {}, [("RESPECT", 0)]),
     ([(104.5, 97.5, 102)], {}, [("PIERCE_AND_REVERT", 0)]),
@@ -46,23 +47,69 @@ def _bars(rows, **flags):
     ([(101, 99, 100), (105, 99, 104)], {}, [("BREAK", 1)]),
     ([(101, 99, 100)] * 5, {}, [("TIMEOUT", 3)]),
     ([(101, 99, 100)] * 3, {}, []),
-    ([(101, 99, 100)] * 3, {"late": 1}, [("INVALID", 1)]),
+    ([*[(101, 99, 100)] * 3, *[(150, 149, 150)] * 4], {"late": 1}, [("INVALID", 1)]),
     ([(101, 99, 100)] * 3, {"is_outlier": 1}, [("INVALID", 1)]),
     ([(101, 99, 100)] * 3, {"has_gap": 0}, [("INVALID", 0)]),
     ([(101, 96, 96), (101, 99, 96)], {}, [("BREAK", 0)]),
     ([(101, 96, 96), (97, 95, 96), (101, 96, 96)], {}, [("BREAK", 0), ("BREAK", 0)]),
     ([(101, 95.5, 98)], {"side": "RESISTANCE"}, [("RESPECT", 0)]),
-])
-def test_scenarios(rows, flags, want):
-    got = replay(_bars(rows, **flags), RULES)
-    assert list(zip(got["outcome"], got["bars_to_outcome"], strict=True)) == want
+    ([(110, 105, 106), *[(101, 99, 100)] * 5], {}, [("TIMEOUT", 3)]),
+    ([(97, 90, 95), *[(101, 99, 100)] * 5], {}, [("TIMEOUT", 3)]),
+    ([(101, 99, 100), (None, 99, 100), (101, None, 100), (104.5, 99, 102), (None, None, None), (101, 99, 100)], {}, [("RESPECT", 3)]),
+    ([(101, 96, 96), (None, 95, 96), (97, None, 96), (101, 96, 96)], {}, [("BREAK", 0), ("BREAK", 0)]),
+]
+
+
+def _detected(spark, zones, config):
+    """The episodes that Spark finds, by zone; zones: each one's bars as _bars gives them, each a symbol of its own."""
+    bars = pd.concat([z.assign(symbol=f"s{i}") for i, z in enumerate(zones)])
+    bars = bars.assign(timestamp=pd.to_datetime(1_700_000_000_000_000 + bars["micros"], unit="us"))
+    columns = ["symbol", "timestamp", "high", "low", "close", "is_outlier", "has_gap", "is_rth", "minute_of_day", *MEASURES]
+    table = spark.createDataFrame(bars[columns])
+    table = table.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("high", "low", "close")})
+    made = [(f"s{i}", 1, z["zone_type"].iloc[0], 100.0, 2.0, datetime(2023, 11, 14), datetime(2024, 1, 1)) for i, z in enumerate(zones)]
+    found = detect_episodes(table, spark.createDataFrame(made, "symbol string, id int, type string, level double, width double, activation_time timestamp, expiry_time timestamp"), config)
+    out = {i: [] for i in range(len(zones))}
+    for r in found.orderBy("symbol", "touch_time").collect():
+        out[int(r["symbol"][1:])].append((r["outcome"], r["bars_to_outcome"], r["max_favorable"], r["max_adverse"], r["from_above"], r["end_idx"]))
+    return out
+
 
+def _plain(bars, config):
+    got = replay(bars.assign(spacing=float(np.median(np.diff(bars["micros"]))) if len(bars) > 1 else 60e6), config)
+    return [(*x[:2], float(x[2]), float(x[3]), *x[4:]) for x in got[["outcome", "bars_to_outcome", "max_favorable", "max_adverse", "from_above", "end_idx"]].itertuples(index=False, name=None)]
 
-def test_timeout_as_break_and_side_of_approach():
-    config = EpisodeConfig(R=4, O=1, T=3, treat_timeout_as_break=True)
-    got = replay(_bars([(110, 105, 106), *[(101, 99, 100)] * 5]), config)
-    assert list(got["outcome"]) == ["BREAK"] and list(got["from_above"]) == [True]
-    assert list(replay(_bars([(97, 90, 95), *[(101, 99, 100)] * 5]), config)["from_above"]) == [False]
+
+@pytest.mark.parametrize("config", [RULES, EpisodeConfig(R=4, O=1, T=3, treat_timeout_as_break=True)])
+def test_scenarios(spark, config):
+    zones = [_bars(rows, **dict(flags)) for rows, flags, _ in SCENARIOS]
+    got = _detected(spark, zones, config)
+    for i, (_, _, want) in enumerate(SCENARIOS):
+        assert got[i] == _plain(zones[i], config), i
+        if config is RULES:
+            assert [x[:2] for x in got[i]] == want, i
+        else:
+            assert [x[:2] for x in got[i]] == [("BREAK" if o == "TIMEOUT" else o, n) for o, n in want], i
+    sides = {i: got[i][0][4] for i in (13, 14)}
+    assert sides == {13: True, 14: False}
+
+
+def test_random_bars_equal_a_plain_replay(spark):
+    """Walks around the band with unknown prices, flags and holes in time: touches, outcomes and the order of episodes."""
+    rng, zones = np.random.default_rng(8), []
+    for i in range(40):
+        middle = 100 + np.cumsum(rng.normal(0, 1.2, 300)) * 0.7
+        rows = np.stack([middle + rng.random(300) * 2, middle - rng.random(300) * 2, middle + rng.normal(0, 0.5, 300)], axis=1)
+        rows[rng.random((300, 3)) < 0.02] = np.nan
+        own = _bars([tuple(r) for r in rows], side="RESISTANCE" if i % 2 else "SUPPORT")
+        own["is_outlier"], own["has_gap"] = rng.random(300) < 0.01, rng.random(300) < 0.01
+        own["micros"] += np.cumsum(rng.random(300) < 0.02) * 600_000_000
+        zones.append(own)
+    for config in (RULES, EpisodeConfig(R=3, O=2, T=8, max_gap_bars=0)):
+        got = _detected(spark, zones, config)
+        assert sum(map(len, got.values())) > 100
+        for i, own in enumerate(zones):
+            assert [tuple(map(repr, x)) for x in got[i]] == [tuple(map(repr, (*x[:4], None if x[4] is None else bool(x[4]), int(x[5])))) for x in _plain(own, config)], i
 
 
 def test_numbers():
