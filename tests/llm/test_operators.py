@@ -387,7 +387,7 @@ def test_meetings_equal_brute_force(spark, medium):
         for _ in range(8):
             words = [w if rng.random() > 0.005 else "other" for w in words]
             texts.append(" ".join(words))
-    prints = {simhash.wide_fingerprint(t, 5, 4).tobytes() for t in texts}
+    prints = {simhash.wide_fingerprint(simhash.shingle_set(t, 5), 4).tobytes() for t in texts}
     table = spark.createDataFrame([(p,) for p in prints], "prints binary").withColumn("node", F.xxhash64("prints"))
     nodes = {r["node"]: np.frombuffer(r["prints"], np.int64) for r in table.collect()}
     homes = {n: {(i, pair, int(simhash.anchors(p[i : i + 1], pair, 0)[0][0])) for i in range(4) for pair in simhash.ALL_TABLES} for n, p in nodes.items()}
