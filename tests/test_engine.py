@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from tidegauge import cli
 from tidegauge.config import EngineConfig, EpisodeConfig, SessionConfig, ZoneConfig, override
 from tidegauge.functions.numbers import bootstrap_interval, exact_interval, tail
-from tests.plain import replay
+from tests.plain import cluster, replay
 from tidegauge.operators.episodes import MEASURES, detect_episodes
 from tidegauge.operators.indicators import smoothed
 from tidegauge.operators.strata import tercile
-from tidegauge.operators.zones import merge_close, significant
+from tidegauge.operators.zones import cluster_pivots, merge_close, significant
 from tidegauge.sources.bars import read_files
 from tidegauge.sources.sinks import file_hashes
 
@@ -147,6 +147,22 @@ def test_significance_and_merge(spark):
     assert sum(len(r["touches"]) for r in merged) == 14 and all(b["level"] - a["level"] > 0 for a, b in zip(merged, merged[1:], strict=False))
 
 
+@pytest.mark.parametrize("span", [None, 0, 3])
+def test_clusters_of_price_levels_equal_the_fold_of_pivots(spark, span):
+    """Dense prices on a grid, many of each; steps of just the width and just above it; times before and after a cluster's first."""
+    rng, start = np.random.default_rng(4), datetime(2024, 1, 1)
+    prices = np.concatenate([100 + 0.25 * rng.integers(0, 200, 2500), [300, 315, 322.5, 340, 355.25], np.full(400, 500.0)])
+    times = [start + timedelta(minutes=int(m)) for m in rng.choice(30_000, len(prices), replace=False)]
+    pivots = pd.DataFrame({"symbol": "", "type": "HIGH", "price": prices, "center_time": times}).sort_values(["price", "center_time"], kind="stable")
+    want = pd.Series(cluster(pivots, 15.0, span))
+    sizes = want.map(want.value_counts())
+    names = {c: i for i, c in enumerate(sorted(set(want[sizes >= 2])))}
+    config = override(ZoneConfig(), {"max_cluster_span_days": span})
+    got = cluster_pivots(spark.createDataFrame(pivots), config).select("price", "center_time", "cluster").collect()
+    assert len(names) > 3
+    assert sorted(map(tuple, got)) == sorted((p, t.to_pydatetime(), names[c]) for p, t, c, n in zip(pivots["price"], pivots["center_time"], want, sizes, strict=True) if n >= 2)
+
+
 def test_config():
     with pytest.raises(ValueError):
         SessionConfig(rth_start="25:00")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegauge.config import ZoneConfig
 from tidegauge.functions.numbers import binomial_tail
+from tidegauge.session import cut
 
 ALPHA, WIDTH = 0.05, 15.0
 _SIDE = ("symbol", "type")
@@ -24,29 +26,50 @@ def islands(rows: DataFrame, value: str, gap: float, order: list[str]) -> DataFr
     return rows.withColumn("new_", new).withColumn("island", F.sum("new_").over(by)).drop("new_")
 
 
+DAY = 86_400_000_000
+
+
 def cluster_pivots(pivots: DataFrame, config: ZoneConfig) -> DataFrame:
-    """pivots with cluster, numbered by price within symbol and type; those of clusters with too few touches are left out."""
+    """pivots with cluster, numbered by price within symbol and type; those of clusters with too few touches are left out.
+
+    The fold takes price levels, not pivots: all pivots of one price join one cluster or begin one together, as the mean only
+    comes nearer to them; so a group is as long as its prices, however many pivots they have. With a longest span of days
+    a level carries its times in order, eight bytes each, and falls into runs, each found by one search.
+    """
     width, span = config.cluster_width_points or WIDTH, config.max_cluster_span_days
+    times = F.sort_array(F.collect_list(F.unix_micros("center_time"))) if span is not None else F.lit(None).cast("array<long>")
+    levels = pivots.groupBy(*_SIDE, "price").agg(F.count("*").alias("n"), times.alias("times"))
+    fields = "symbol string, type string, island long, price double, fold long, n long, since long, until long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["price", "center_time"], kind="stable")
-        total, count, first, cluster, numbers = 0.0, 0, None, -1, []
-        for price, time in zip(pdf["price"], pdf["center_time"], strict=True):
-            near = count and abs(price - total / count) <= width
-            if near and span is not None and (time - first).days > span:
-                near = False
-            if not near:
-                total, count, first, cluster = 0.0, 0, time, cluster + 1
-            total, count, first = total + price, count + 1, min(first, time)
-            numbers.append(cluster)
-        return pdf.assign(fold=numbers)
-
-    split = islands(pivots, "price", width, ["center_time"])
-    folded = split.groupBy(*_SIDE, "island").applyInPandas(fold, StructType([*split.schema.fields, StructField("fold", LongType())]))
-    size = F.count("*").over(Window.partitionBy(*_SIDE, "island", "fold"))
-    kept = folded.withColumn("n_", size).filter(F.col("n_") >= config.min_touches_for_significance)
+        total, count, first, cluster, rows = 0.0, 0, 0, -1, []
+        for price, n, own in pdf.sort_values("price")[["price", "n", "times"]].itertuples(index=False):
+            at = 0
+            while at < n:
+                near = count and abs(price - total / count) <= width
+                if span is not None and near:
+                    near = own[at] - first < (span + 1) * DAY
+                if not near:
+                    total, count, cluster = 0.0, 0, cluster + 1
+                to, since, until = n, None, None
+                if span is not None:
+                    first = min(first, own[at]) if near else own[at]
+                    to = max(at + 1, int(np.searchsorted(own, first + (span + 1) * DAY)))
+                    since, until = own[at], own[to - 1]
+                total, count = total + price * (to - at), count + to - at
+                rows.append((price, cluster, to - at, since, until))
+                at = to
+        out = pd.DataFrame(rows, columns=["price", "fold", "n", "since", "until"]).astype({"since": "Int64", "until": "Int64"})
+        return out.assign(**{c: pdf[c].iloc[0] for c in (*_SIDE, "island")})[[x.split()[0] for x in fields.split(", ")]]
+
+    folded = islands(levels, "price", width, []).groupBy(*_SIDE, "island").applyInPandas(fold, fields)
+    kept = folded.withColumn("n_", F.sum("n").over(Window.partitionBy(*_SIDE, "island", "fold"))).filter(F.col("n_") >= config.min_touches_for_significance)
     number = F.dense_rank().over(Window.partitionBy(*_SIDE).orderBy("island", "fold")) - 1
-    return kept.withColumn("cluster", number.cast("long")).drop("island", "fold", "n_")
+    runs = kept.select(*_SIDE, "price", "since", "until", number.cast("long").alias("cluster"))
+    out = pivots.join(runs, [*_SIDE, "price"])
+    if span is not None:
+        out = out.filter(F.unix_micros("center_time").between(F.col("since"), F.col("until")))
+    return out.select(*pivots.columns, "cluster")
 
 
 def candidates(bars: DataFrame, clusters: DataFrame, config: ZoneConfig) -> DataFrame:
@@ -99,23 +122,31 @@ def merge_close(zones: DataFrame, tolerance: float) -> DataFrame:
     if tolerance <= 0:
         return zones.withColumn("place", F.col("cluster").cast("double"))
 
+    zones = cut(zones)  # read for the fold, and for the touches
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(["level", "cluster"], kind="stable"), []
-        for row in pdf.to_dict("records"):
-            row["touches"] = list(row["touches"])
-            if out and abs(row["level"] - out[-1]["level"]) <= tolerance:
-                own = out[-1]
-                a, b = len(own["touches"]), len(row["touches"])
-                own["level"] = (own["level"] * a + row["level"] * b) / (a + b)
-                own["touches"] += row["touches"]
-                own["p_value"], own["activation_time"] = min(own["p_value"], row["p_value"]), min(own["activation_time"], row["activation_time"])
-                own["width"] = (own["width"] + row["width"]) / 2
+        """For each zone the first one that it is merged into, its place there, and what the merged zone comes to."""
+        heads, head = [], None
+        for row in pdf.sort_values(["level", "cluster"], kind="stable").to_dict("records"):
+            if head and abs(row["level"] - head["level"]) <= tolerance:
+                head["level"] = (head["level"] * head["n"] + row["level"] * row["n"]) / (head["n"] + row["n"])
+                head["n"] += row["n"]
+                head["p_value"], head["activation_time"] = min(head["p_value"], row["p_value"]), min(head["activation_time"], row["activation_time"])
+                head["width"] = (head["width"] + row["width"]) / 2
             else:
-                out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    split = islands(zones, "level", tolerance, ["cluster"])
-    return split.groupBy(*_SIDE, "island").applyInPandas(fold, split.schema).drop("island").withColumn("place", F.col("level"))
+                head = row | {"members": []}
+                heads.append(head)
+            head["members"].append(row["cluster"])
+        rows = [{**h, "cluster": c, "head": h["members"][0], "at": i} for h in heads for i, c in enumerate(h["members"])]
+        return pd.DataFrame(rows, columns=names)
+
+    slim = islands(zones.withColumn("n", F.size("touches")).drop("touches"), "level", tolerance, ["cluster"])
+    names = [*slim.columns, "head", "at"]
+    merged = slim.groupBy(*_SIDE, "island").applyInPandas(fold, StructType([*slim.schema.fields, StructField("head", LongType()), StructField("at", LongType())]))
+    touches = merged.select(*_SIDE, "cluster", "head", "at").join(zones.select(*_SIDE, "cluster", "touches"), [*_SIDE, "cluster"])
+    touches = touches.groupBy(*_SIDE, "head").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "touches"))), lambda x: x["touches"])).alias("touches"))
+    out = merged.filter("at = 0").drop("cluster").join(touches, [*_SIDE, "head"]).withColumnRenamed("head", "cluster")
+    return out.select(*zones.columns, F.col("level").alias("place"))
 
 
 def detect_zones(bars: DataFrame, pivots: DataFrame, config: ZoneConfig) -> DataFrame:
