@@ -14,7 +14,8 @@ from tidegauge.functions.numbers import bootstrap_interval, exact_interval, tail
 from tests.plain import cluster, replay
 from tidegauge.operators.episodes import MEASURES, detect_episodes
 from tidegauge.operators.indicators import smoothed
-from tidegauge.operators.strata import tercile
+from tidegauge.operators.ranks import percentiles, ranked
+from tidegauge.operators.strata import ENDS, draw, keyed_intervals, terciles
 from tidegauge.operators.zones import cluster_pivots, merge_close, significant
 from tidegauge.sources.bars import read_files
 from tidegauge.sources.sinks import file_hashes
@@ -136,7 +137,43 @@ def test_bootstrap_equals_a_plain_loop(n):
 def test_terciles(spark):
     for n, want in ((1, ["n/a"]), (2, ["low", "high"]), (4, ["low", "mid", "high", "high"]), (7, ["low", "low", "mid", "mid", "high", "high", "high"])):
         table = spark.createDataFrame([("", float(i), 1, i) for i in range(n)], "symbol string, x double, zone_id int, touch_time int")
-        assert [r["t"] for r in table.withColumn("t", tercile("x")).orderBy("x").collect()] == want
+        assert [r["t"] for r in terciles(table, {"t": "x"}).orderBy("x").collect()] == want
+    table = spark.createDataFrame([("a", None, 1, 0), ("a", 1.0, 1, 1), ("a", 1.0, 1, 2), ("b", None, 1, 0)], "symbol string, x double, zone_id int, touch_time int")
+    assert [r["t"] for r in terciles(table, {"t": "x"}).orderBy("symbol", "touch_time").collect()] == [None, "low", "high", "n/a"]
+
+
+def test_ranks_and_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.integers(0, 5, 4000).astype(float), "b": rng.normal(size=1501), "c": np.array([7.0]), "d": np.array([1.0, 2.0])}
+    rows = [(g, float(x), i) for g, values in groups.items() for i, x in enumerate(values)] + [("a", None, -1), ("e", None, -1)]
+    table = spark.createDataFrame(rows, "g string, x double, i int")
+    for r in percentiles(table, ["g"], "x", [0.25, 0.5, 0.99]).collect():
+        own = groups.pop(r["g"])
+        assert r["n"] == len(own) and r["mean"] == pytest.approx(own.mean()) and r["q"] == pytest.approx(list(np.percentile(own, [25, 50, 99])))
+    assert not groups
+    for g in "abd":
+        got = [r["at"] for r in ranked(table.filter("x is not null"), ["g"], ["x", "i"], "at").filter(F.col("g") == g).orderBy("x", "i").collect()]
+        assert got == list(range(len(got)))
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_keyed_bootstrap_equals_a_plain_loop(spark, most):
+    rng, rows, start = np.random.default_rng(2), [], datetime(2024, 1, 1)
+    for i in range(40):
+        rows.append(("s", i % 3, start + timedelta(minutes=i), ["all", "few"] if i < 6 else ["all"], "BREAK", int(rng.integers(0, 20)), float(rng.normal()), None))
+    table = spark.createDataFrame(rows, "symbol string, zone_id int, touch_time timestamp, strata array<string>, outcome string, bars_to_outcome int, max_favorable double, max_adverse double")
+    got = {(r["stratum"], r["metric"]): [r[c] for c in ENDS] for r in keyed_intervals(table, EpisodeConfig(), 60, most).collect()}
+    assert set(got) == {(s, m) for s in ("all", "few") for m in ("bars_to_outcome", "max_favorable")}
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    for (stratum, metric), ends in got.items():
+        data = np.array([r[5 if metric == "bars_to_outcome" else 6] for r in ordered if stratum in r[3]], float)
+        n, width = len(data), 10 if len(data) >= 10 else 1
+        means, medians = [], []
+        for b in range(60):
+            places = [(draw(f"s|{stratum}|{metric}", b, piece, n) + j) % n for piece in range(-(-n // width)) for j in range(width)][:n]
+            means.append(data[places].mean())
+            medians.append(np.median(data[places]))
+        assert ends == pytest.approx([*np.percentile(means, [2.5, 97.5]), *np.percentile(medians, [2.5, 97.5])])
 
 
 def test_significance_and_merge(spark):

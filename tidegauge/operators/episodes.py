@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import EpisodeConfig
 from tidegauge.operators.halo import bounded, numbered
+from tidegauge.operators.ranks import percentiles
 from tidegauge.session import cut
 
 MEASURES = ("rsi", "atr", "rvol", "stoch_k", "stoch_d")
@@ -18,8 +19,8 @@ RANGES_A_BUCKET, BUCKETS_A_BAND = 4, 8
 
 def spacing(live: DataFrame) -> DataFrame:
     """symbol and the median microseconds between its bars; a minute if there is none above zero."""
-    middle = live.groupBy("symbol").agg(F.median("step").alias("m"))
-    return middle.select("symbol", F.when(F.col("m") > 0, F.col("m")).otherwise(60e6).alias("spacing"))
+    middle = percentiles(live, ["symbol"], "step", [0.5]).select("symbol", F.get("q", F.lit(0)).alias("m"))
+    return live.select("symbol").distinct().join(middle, "symbol", "left").select("symbol", F.when(F.col("m") > 0, F.col("m")).otherwise(60e6).alias("spacing"))
 
 
 def _live(bars: DataFrame) -> DataFrame:

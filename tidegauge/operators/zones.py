@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegauge.config import ZoneConfig
 from tidegauge.functions.numbers import binomial_tail
+from tidegauge.operators.ranks import percentiles
 from tidegauge.session import cut
 
 ALPHA, WIDTH = 0.05, 15.0
@@ -87,8 +88,8 @@ def candidates(bars: DataFrame, clusters: DataFrame, config: ZoneConfig) -> Data
     days = zones.select(*by, "t0", "t1", F.explode(F.sequence("d0", "d1")).alias("session_date"))
     if config.zone_width_alpha_atr is not None:
         inside = days.join(bars.select("symbol", "session_date", "timestamp", "atr"), ["symbol", "session_date"]).filter("timestamp between t0 and t1")
-        zones = zones.join(inside.groupBy(*by).agg(F.median("atr").alias("atr_")), by, "left")
-        zones = zones.join(bars.groupBy("symbol").agg(F.median("atr").alias("atr_all_")), "symbol", "left")
+        middle = lambda rows, keys, name: percentiles(rows, keys, "atr", [0.5]).select(*keys, F.get("q", F.lit(0)).alias(name))
+        zones = zones.join(middle(inside, by, "atr_"), by, "left").join(middle(bars, ["symbol"], "atr_all_"), "symbol", "left")
         zones = zones.withColumn("width", F.greatest(F.lit(1e-9), config.zone_width_alpha_atr * F.coalesce("atr_", "atr_all_")))
     else:
         zones = zones.withColumn("width", F.lit(float(config.zone_width_points or WIDTH)))

@@ -144,7 +144,8 @@ def stratum_metrics(spark, sf_dir):
 
 
 def stratum_intervals(spark, sf_dir):
-    return strata.bootstrap_intervals(_stratified(spark, sf_dir), EngineConfig().episode)
+    found = strata.keyed_intervals(_stratified(spark, sf_dir), EngineConfig().episode)
+    return found.select("stratum", "metric", *_rounded(*strata.ENDS))
 
 
 def parameter_sweep(spark, sf_dir):
@@ -357,6 +358,14 @@ SELECT {_T.format('timestamp')}, strftime(session_date, '%Y-%m-%d') AS session_d
 FROM each_ LEFT JOIN ci ON k = n AND m = n_episodes""",
     "stratum_metrics": f"""{_WHOLE}, melted AS (SELECT stratum, unnest(['bars_to_outcome', 'max_favorable', 'max_adverse']) AS metric, unnest([bars_to_outcome::DOUBLE, max_favorable, max_adverse]) AS value FROM by_stratum WHERE outcome <> 'INVALID')
 SELECT stratum, metric, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75 FROM melted GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "stratum_intervals": f"""{_WHOLE}, melted AS (SELECT stratum, zone_id, touch_time, unnest(['bars_to_outcome', 'max_favorable', 'max_adverse']) AS metric, unnest([bars_to_outcome::DOUBLE, max_favorable, max_adverse]) AS value FROM by_stratum WHERE outcome <> 'INVALID'),
+placed AS (SELECT stratum, metric, value, row_number() OVER (PARTITION BY stratum, metric ORDER BY zone_id, touch_time) - 1 AS place, count(*) OVER (PARTITION BY stratum, metric) AS n FROM melted),
+sizes AS (SELECT DISTINCT stratum, metric, n, CASE WHEN n < 10 THEN 1 ELSE 10 END AS w FROM placed WHERE n > 1),
+draws AS (SELECT stratum, metric, n, w, b, piece, ('0x' || substr(md5('42||' || stratum || '|' || metric || '|' || b || '|' || piece), 1, 12))::BIGINT % n AS start
+  FROM (SELECT *, unnest(range(CAST(ceil(n / w) AS BIGINT))) AS piece FROM sizes CROSS JOIN range(1000) t(b))),
+taken AS (SELECT stratum, metric, b, (start + j) % n AS place FROM (SELECT *, unnest(range(w)) AS j FROM draws) WHERE piece * w + j < n),
+found AS (SELECT stratum, metric, b, avg(value) AS m, median(value) AS d FROM taken JOIN placed USING (stratum, metric, place) GROUP BY 1, 2, 3)
+SELECT stratum, metric, round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high, round(quantile_cont(d, 0.025), 6) AS median_low, round(quantile_cont(d, 0.975), 6) AS median_high FROM found GROUP BY 1, 2""",
     "parameter_sweep": f"WITH RECURSIVE {BARS_SQL}, {_PREPARED}, {_SWEEP}" + " UNION ALL ".join(f"""
 SELECT {i}::INTEGER AS place, '{run}' AS run_id, '{params}' AS params, count(*) FILTER (outcome <> 'INVALID') AS n_valid_episodes, count(*) FILTER (outcome = 'INVALID') AS n_invalid_episodes,
   {", ".join(f"round(count(*) FILTER (outcome = '{x}') / nullif(count(*) FILTER (outcome <> 'INVALID'), 0), 6) AS {c}" for x, c in engine.RATES.items())} FROM ep{i or ''}""" for i, run, params in _PARAMS),
