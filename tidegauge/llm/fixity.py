@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,6 @@ BITS, FILE_BITS = 4, 12
 _LANES = 4
 #: A record's first line, and what ends its head and itself.
 VERSION, RECORD_END = "WARC/1.1\r\n", "\r\n\r\n"
-_ESCAPED = RECORD_END.replace("\r", "\\r").replace("\n", "\\n")
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -37,18 +39,48 @@ def write_warc(pages: DataFrame, path: str) -> None:
     rows.select("file", "value").write.partitionBy("file").option("lineSep", RECORD_END).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url and html of the records of write_warc(); null parts come back empty, a null id as null.
+def _records(content: bytes):
+    """page_id, url, html and damaged of each record of a file's bytes, walked by Content-Length.
 
-    Spark cuts the files where a record's end and another's first line meet; Content-Length gives the body's bytes. A body that
-    holds just that byte string is not told apart.
+    Where the walk meets no head, or a body that doesn't end as a record does, one damaged record stands for what it has read,
+    and the walk goes on at the next first line of a record.
+    """
+    start, end, at = VERSION.encode(), RECORD_END.encode(), 0
+    while at < len(content):
+        stop = content.find(end, at)
+        length = re.findall(rb"\r\nContent-Length: ([0-9]+)$", content[at:stop]) if stop >= 0 and content.startswith(start, at) else []
+        body = stop + len(end)
+        to = body + int(length[0]) if length else -1
+        if length and content[to : to + len(end)] == end:
+            head, text = content[at:stop].decode("utf-8", "replace"), content[body:to].decode("utf-8", "replace")
+            page, url = re.search("<urn:page:(-?[0-9]*)>", head), re.search("WARC-Target-URI: (.*?)\r\nContent-Type: ", head, re.DOTALL)
+            yield int(page[1]) if page and page[1] not in ("", "-") else None, url[1] if url else None, text, not (page and url)
+            at = to + len(end)
+        else:
+            yield None, None, None, True
+            at = content.find(end + start, at + 1)
+            at = len(content) if at < 0 else at + len(end)
+
+
+def read_warc(spark: SparkSession, path: str, tell_damaged: bool = False) -> DataFrame:
+    """page_id, url and html of the records of write_warc(), and damaged if asked for; null parts come back empty, a null id as null.
+
+    A task takes whole files, some 2 ** FILE_BITS records each, and walks them by Content-Length, so that bodies may hold
+    anything, a record's first line too. Bytes that are no record give a row of nulls with damaged true and fail nothing; a URL
+    with line breaks isn't valid and may give such a row. Empty folders and files give no rows.
     """
-    records = spark.read.option("lineSep", RECORD_END + VERSION).text(path).select("value")
-    head, body = F.substring_index("value", RECORD_END, 1), F.expr(f"substring(value, instr(value, '{_ESCAPED}') + {len(RECORD_END)})")
-    field = lambda pattern: F.regexp_extract(head, pattern, 1)
-    found = records.withColumns({"n": field("Content-Length: ([0-9]+)").cast("int"), "body": body.cast("binary")})
-    html = F.substring("body", F.lit(1), F.col("n")).cast("string")
-    return found.select(F.nullif(field("<urn:page:([^>]*)>"), F.lit("")).cast("long").alias("page_id"), field("WARC-Target-URI: ([^\\r]*)").alias("url"), html.alias("html"))
+
+    def walk(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                rows = list(_records(content.as_py()))
+                columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "html", "damaged"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    found = files.mapInArrow(walk, "page_id long, url string, html string, damaged boolean")
+    return found if tell_damaged else found.drop("damaged")
 
 
 def leaves(pages: DataFrame) -> DataFrame:
