@@ -268,15 +268,39 @@ def test_a_missing_config_file_warns(caplog):
     assert load_config("/nowhere/x.json") == EngineConfig() and "no config file" in caplog.text
 
 
+def test_spellings_of_unknown_cells(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("timestamp,open,high,low,close,volume,is_rth\n" + "".join(f"2024-01-02 10:0{i}:00,{c},2,1,2,{v},{b}\n" for i, (c, v, b) in enumerate([("NA", "", "True"), ("null", "n/a", "False"), ("1.5", "#N/A", ""), ("oops", "NaN", "maybe"), (" 2 ", "7", "true")])))
+    rows = read_files(spark, [f"{tmp_path}/raw.csv"]).orderBy("timestamp").collect()
+    assert [r["open"] for r in rows] == [None, None, 1.5, None, 2.0] and [r["volume"] for r in rows] == [None] * 4 + [7.0]
+    assert [r["is_rth"] for r in rows] == [True, False, None, None, True] and [r["bad_cells"] for r in rows] == [0, 0, 0, 2, 0]
+
+
+def test_bars_without_a_time_and_bad_cells_are_reported(spark, tmp_path):
+    from tidegauge.plans import engine
+
+    (tmp_path / "raw.csv").write_text("timestamp,open,high,low,close,volume\n" + "".join(f"{t},10,11,9,{c},5\n" for t, c in [("2024-01-02 10:00:00", "10"), ("soon", "10"), ("2024-01-02 10:01:00", "x"), ("2024-01-02 10:02:00", "10")]))
+    prepared, report = engine.prepare_and_report(spark, [f"{tmp_path}/raw.csv"], EngineConfig())
+    assert prepared.count() == 3 and report.first()["bad_cells"] == 1 and "bad_cells" not in prepared.columns
+
+
+def test_the_code_hash_covers_the_package(tmp_path):
+    from tidegauge.sources import sinks
+
+    assert len(sinks.code_hash()) == 64 and sinks.code_hash() == sinks.code_hash()
+
+
 def test_command_line(spark, small, tmp_path):
     from tidegauge.sources.bars import bars_from_events
 
     bars_from_events(spark, small, 60).drop("symbol").coalesce(1).write.option("header", True).csv(f"{tmp_path}/raw")
     assert cli.main(["prepare", "--files", f"{tmp_path}/raw", "--out", f"{tmp_path}/p.parquet"]) == 0
+    assert cli.main(["prepare", "--files", f"{tmp_path}/raw", "--out", f"{tmp_path}/p.csv"]) == 0
     assert cli.main(["analyze", "--data", f"{tmp_path}/p.parquet", "--out", f"{tmp_path}/r"]) == 0
+    assert cli.main(["analyze", "--data", f"{tmp_path}/p.csv", "--out", f"{tmp_path}/r2"]) == 0
+    assert (tmp_path / "r" / "statistics.json").read_text() == (tmp_path / "r2" / "statistics.json").read_text()
     tree = json.loads((tmp_path / "r" / "statistics.json").read_text())
     assert "all" in tree and spark.read.option("header", True).csv(f"{tmp_path}/r/daily_map.csv").count() > 0
     assert spark.read.option("header", True).csv(f"{tmp_path}/r/zones.csv").columns[0] == "id"
     (tmp_path / "g.json").write_text(json.dumps([{}, {"episode": {"R": 10, "O": 4}}]))
-    assert cli.main(["sweep", "--data", f"{tmp_path}/p.parquet", "--grid", f"{tmp_path}/g.json", "--out", f"{tmp_path}/s"]) == 0
+    assert cli.main(["sweep", "--data", f"{tmp_path}/p.csv", "--grid", f"{tmp_path}/g.json", "--out", f"{tmp_path}/s"]) == 0
     assert spark.read.option("header", True).csv(f"{tmp_path}/s/sweep_summary.csv").count() == 2

@@ -8,11 +8,10 @@ import logging
 from pathlib import Path
 
 from tidegauge.config import load_config, load_grid
-from tidegauge.operators import quality, sessions
 from tidegauge.plans import engine
 from tidegauge.session import session
 from tidegauge.sources import sinks
-from tidegauge.sources.bars import first_of_each_time, read_files
+from tidegauge.sources.bars import read_files
 
 LOG = logging.getLogger("tidegauge")
 
@@ -46,9 +45,9 @@ def main(argv: list[str] | None = None) -> int:
     config = load_config(getattr(args, "config", None))
     if args.command == "prepare":
         sinks.write_metadata(spark, str(Path(args.out).parent), "prepare", vars(args), args.files, config)
-        sinks.write_table(engine.prepare(spark, args.files, config), args.out)
-        once = first_of_each_time(read_files(spark, args.files), ["file_ord", "symbol", "timestamp"])
-        LOG.info("quality report: %s", quality.report(sessions.annotate_sessions(once, config.session), config.data_quality).first().asDict())
+        prepared, report = engine.prepare_and_report(spark, args.files, config)
+        sinks.write_table(prepared, args.out)
+        LOG.info("quality report: %s", report.first().asDict())
         LOG.info("prepared: %s", engine.data_span(read_files(spark, [args.out])).first().asDict())
         return 0
     bars = read_files(spark, [args.data])

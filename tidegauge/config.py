@@ -63,6 +63,7 @@ class ZoneConfig:
     max_cluster_span_days: int | None = None
     min_touches_for_significance: int = 2
     significance_test: bool = True
+    fdr: bool = True  # false: each zone is held against alpha by itself
 
     def __post_init__(self):
         _need(self.pivot_k >= 1, "pivot_k must be 1 or more")

@@ -69,10 +69,16 @@ def validate(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
 
 def report(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
     """One row: original_rows, invalid_ohlc, price_spike, low_volume, outliers, gaps_detected, final_rows, rows_removed, removal_pct."""
+    return summary(marked(bars, config))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The report of marked rows; with bad_cells, the sum of theirs, where they have that column."""
     gone = lambda kind: F.count_if(F.col("dropped").eqNullSafe(kind))
-    found = marked(bars, config).agg(
+    bad = [F.coalesce(F.sum("bad_cells"), F.lit(0)).alias("bad_cells")] if "bad_cells" in rows.columns else []
+    found = rows.agg(
         F.count("*").alias("original_rows"), gone("ohlc").alias("invalid_ohlc"), gone("spike").alias("price_spike"), gone("volume").alias("low_volume"),
-        F.count_if("is_outlier").alias("outliers"), F.count_if("has_gap").alias("gaps_detected"), F.count_if(F.col("dropped").isNull()).alias("final_rows"),
+        F.count_if("is_outlier").alias("outliers"), F.count_if("has_gap").alias("gaps_detected"), F.count_if(F.col("dropped").isNull()).alias("final_rows"), *bad,
     )
     found = found.withColumn("rows_removed", F.col("original_rows") - F.col("final_rows"))
     return found.withColumn("removal_pct", F.coalesce(F.try_divide(100.0 * F.col("rows_removed"), F.col("original_rows")), F.lit(0.0)))

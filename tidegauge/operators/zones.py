@@ -109,9 +109,11 @@ def candidates(bars: DataFrame, clusters: DataFrame, config: ZoneConfig) -> Data
 
 
 def significant(zones: DataFrame, config: ZoneConfig, alpha: float = ALPHA) -> DataFrame:
-    """Benjamini-Hochberg within symbol and type: all zones up to the last whose p-value is at most alpha * rank / count."""
+    """Benjamini-Hochberg within symbol and type: all zones up to the last whose p-value is at most alpha * rank / count. Without fdr: those whose p-value is below alpha."""
     if not config.significance_test:
         return zones
+    if not config.fdr:
+        return zones.filter(F.col("p_value") < alpha)
     side = Window.partitionBy(*_SIDE)
     ranked = zones.withColumns({"i_": F.row_number().over(side.orderBy("p_value", "cluster")), "m_": F.count("*").over(side)})
     last = F.max(F.when(F.col("p_value") <= alpha * F.col("i_") / F.col("m_"), F.col("i_"))).over(side)

@@ -21,20 +21,36 @@ from tidegauge.session import cut
 from tidegauge.sources.bars import first_of_each_time, normalise, read_files
 
 
+def marked_frame(bars: DataFrame, config: EngineConfig) -> DataFrame:
+    """Raw bars with file_ord, one row a file, time and symbol, annotated and marked by the filters; rows without a time are left out."""
+    once = first_of_each_time(bars.filter("timestamp is not null"), ["file_ord", "symbol", "timestamp"])
+    return quality.marked(sessions.annotate_sessions(once, config.session), config.data_quality)
+
+
+def prepare_marked(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    """Marked rows to prepared bars: those that stay, one a time and symbol, with indicators."""
+    clean = first_of_each_time(rows.filter("dropped is null").drop("dropped", "bad_cells"), ["symbol", "timestamp"])
+    return indicators.add_indicators(clean, config.indicators)
+
+
 def prepare_frame(bars: DataFrame, config: EngineConfig) -> DataFrame:
     """Raw bars with file_ord to prepared bars: one row a time and symbol, annotated, validated, with indicators."""
-    once = first_of_each_time(bars, ["file_ord", "symbol", "timestamp"])
-    clean = quality.validate(sessions.annotate_sessions(once, config.session), config.data_quality)
-    return indicators.add_indicators(first_of_each_time(clean, ["symbol", "timestamp"]), config.indicators)
+    return prepare_marked(marked_frame(bars, config), config)
 
 
 def prepare(spark: SparkSession, paths: list[str], config: EngineConfig | None = None) -> DataFrame:
     return prepare_frame(read_files(spark, paths), config or EngineConfig())
 
 
+def prepare_and_report(spark: SparkSession, paths: list[str], config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """Prepared bars and the quality report, both from marked rows that are written once."""
+    rows = cut(marked_frame(read_files(spark, paths), config))
+    return prepare_marked(rows, config), quality.summary(rows)
+
+
 def ensure_prepared(bars: DataFrame, config: EngineConfig) -> DataFrame:
     """bars with session columns and indicators where any of them is missing; rows stay as they are."""
-    bars = normalise(bars)
+    bars = normalise(bars).drop("bad_cells")
     if not set(sessions.COLUMNS) <= set(bars.columns):
         bars = sessions.annotate_sessions(bars, config.session)
     return bars if set(indicators.COLUMNS) <= set(bars.columns) else indicators.add_indicators(bars, config.indicators)

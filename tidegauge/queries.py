@@ -13,7 +13,7 @@ from tidegauge.operators.episodes import MEASURES, detect_episodes
 from tidegauge.operators.pivots import detect_pivots
 from tidegauge.plans import engine
 from tidegauge.session import cut
-from tidegauge.sources.bars import BARS_SQL, bars_from_events
+from tidegauge.sources.bars import BARS_SQL, bars_from_events, first_of_each_time
 
 MINUTES = 15
 GRID = [{}, {"episode": {"R": 10, "O": 4}}, {"zones": {"pivot_k": 3, "zone_width_points": 8.0}}]
@@ -92,6 +92,31 @@ def zone_candidates(spark, sf_dir):
     return found.select("type", "cluster", *_rounded("level", "width"), _text("activation_time"), F.size("touches").alias("n_touches"), F.round("p_value", 9).alias("p_value"))
 
 
+def atr_zones(spark, sf_dir):
+    """Zones as wide as half the median ATR of their pivots' span, each judged by itself."""
+    own, config = cut(_prepared(spark, sf_dir)), ZoneConfig(zone_width_alpha_atr=0.5, fdr=False)
+    found = zones.significant(zones.candidates(own, zones.cluster_pivots(detect_pivots(own, config), config), config), config)
+    return found.select("type", "cluster", *_rounded("level", "width"), _text("activation_time"), F.size("touches").alias("n_touches"), F.round("p_value", 9).alias("p_value"))
+
+
+def first_of_times(spark, sf_dir):
+    """Two files that share times: of every hundredth bar the second has another version, and of every seventh it repeats a time itself."""
+    own = indicators.indexed(bars_from_events(spark, sf_dir, MINUTES))
+    again = own.filter("bar_idx % 101 = 3 or bar_idx > 2000").withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")}).withColumn("file_ord", F.lit(1))
+    twice = again.filter("bar_idx % 7 = 0").withColumns({c: F.col(c) + 2 for c in ("open", "high", "low", "close")})
+    every = own.filter("bar_idx <= 2500").withColumn("file_ord", F.lit(0)).unionByName(again).unionByName(twice)
+    each = first_of_each_time(every, ["file_ord", "symbol", "timestamp"])
+    return first_of_each_time(each, ["symbol", "timestamp"]).select(_text("timestamp"), "file_ord", "open", "high", "low", "close")
+
+
+def unknown_pivots(spark, sf_dir):
+    """Pivots where every 53rd high and every 71st low is unknown: windows that hold one have none of that side."""
+    own = indicators.indexed(_annotated(spark, sf_dir))
+    hole = lambda c, n: F.when(F.col("bar_idx") % n != 0, F.col(c))
+    found = detect_pivots(own.withColumns({"high": hole("high", 53), "low": hole("low", 71)}), ZoneConfig())
+    return found.select("type", "price", _text("center_time"), _text("confirm_time"), "index")
+
+
 def outlier_fallback(spark, sf_dir):
     own = dirty(bars_from_events(spark, sf_dir, MINUTES))
     found = quality.validate(own, DataQualityConfig(handle_gaps=False, outlier_std_threshold=3))
@@ -191,7 +216,7 @@ QUERIES = {
     f.__name__: f for f in (
         bars, bar_sessions, quality_report, quality_flags, window_indicators, recursive_indicators, pivots, pivot_clusters, zone_candidates, zone_list, episodes,
         stratum_rates, stratum_metrics, stratum_intervals, parameter_sweep, nearest_bar, zone_days, daily_map, outcome_counts, outcome_histograms, outlier_fallback,
-        prepared_bars, data_span,
+        prepared_bars, data_span, atr_zones, first_of_times, unknown_pivots,
     )
 }
 
@@ -350,6 +375,20 @@ SELECT id, type, round(level, 6) AS level, round(width, 6) AS width, round(p_val
 SELECT {_T.format('timestamp')}, bar_idx, coalesce(abs(r) > 3 * (SELECT stddev_samp(r) FROM d3), false) AS is_outlier FROM d3""",
     "prepared_bars": f"""WITH RECURSIVE {BARS_SQL}, {_PREPARED}
 SELECT {_T.format('timestamp')}, strftime(session_date, '%Y-%m-%d') AS session_date, is_rth, is_outlier, has_gap, {", ".join(f"round({c}, 6) AS {c}" for c in ("atr", "rsi", "avg_volume_lookback", "rvol", "stoch_k", "stoch_d"))} FROM s""",
+    "atr_zones": f"""WITH RECURSIVE {BARS_SQL}, {_PREPARED}, {_pivots()}, {_clusters()},
+z AS (SELECT type, cluster, avg(price) AS level, list(price) AS touches, CAST(count(*) AS INTEGER) AS n, min(session_date) AS a, max(session_date) AS b, min(center_time) AS t0, max(center_time) AS t1, list_sort(list(confirm_time))[2] AS activation_time FROM cl GROUP BY 1, 2),
+own AS (SELECT z.type, z.cluster, median(atr) AS atr FROM z JOIN s ON s.timestamp BETWEEN z.t0 AND z.t1 GROUP BY 1, 2),
+r AS (SELECT z.type, z.cluster, max(high) - min(low) AS width_ FROM z JOIN s ON s.session_date BETWEEN z.a AND z.b GROUP BY 1, 2),
+w AS (SELECT *, greatest(1e-9::DOUBLE, 0.5::DOUBLE * coalesce(atr, (SELECT median(atr) FROM s))) AS width FROM z JOIN own USING (type, cluster) JOIN r USING (type, cluster)),
+q AS (SELECT *, len(list_filter(touches, lambda t: abs(t - level) <= greatest(width, 22.5))) AS x, least(1.0::DOUBLE, 2 * greatest(width, 22.5) / width_) AS p FROM w)
+SELECT * FROM (SELECT type, cluster, round(level, 6) AS level, round(width, 6) AS width, {_T.format('activation_time')}, n AS n_touches, round({_TAIL.format(n="n", x="x", p="p")}, 9) AS p_value FROM q) WHERE p_value < 0.05""",
+    "first_of_times": f"""WITH {BARS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS i FROM bars),
+f AS (SELECT timestamp, 0 AS file_ord, 0 AS more, i FROM n WHERE i <= 2500 UNION ALL SELECT timestamp, 1, 1, i FROM n WHERE i % 101 = 3 OR i > 2000 UNION ALL SELECT timestamp, 1, 3, i FROM n WHERE (i % 101 = 3 OR i > 2000) AND i % 7 = 0),
+k AS (SELECT i, arg_min((file_ord, more), (file_ord, more)) AS best FROM f GROUP BY 1)
+SELECT {_T.format('timestamp')}, CAST(best[1] AS INTEGER) AS file_ord, open + best[2] AS open, high + best[2] AS high, low + best[2] AS low, close + best[2] AS close FROM k JOIN n USING (i)""",
+    "unknown_pivots": f"""WITH {BARS_SQL}, {_LOCAL.replace("s AS (", "s0 AS (")}, s AS (SELECT * REPLACE (CASE WHEN i % 53 <> 0 THEN high END AS high, CASE WHEN i % 71 <> 0 THEN low END AS low) FROM s0),
+{_pivots().replace("count(*) OVER a AS n", "count(high) OVER a AS n, count(low) OVER a AS nl").replace("WHERE n = 11 AND low", "WHERE nl = 11 AND low")}
+SELECT type, price, {_T.format('center_time')}, {_T.format('confirm_time')}, index FROM pv""",
     "data_span": f"WITH RECURSIVE {BARS_SQL}, {_PREPARED} SELECT count(*) AS rows, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last_time FROM s",
     "episodes": f"""{_WHOLE} SELECT zone_id, zone_type, outcome, {_T.format('touch_time')}, {_T.format('outcome_time')}, bars_to_outcome, round(max_favorable, 6) AS max_favorable, round(max_adverse, 6) AS max_adverse,
   {", ".join(f"round({m}_at_{x}, 6) AS {m}_at_{x}" for m in MEASURES for x in ("touch", "outcome"))}, from_above, end_idx, is_rth_at_touch, minute_of_day_at_touch, hour_at_touch, atr_tercile, rvol_tercile, stoch_tercile,

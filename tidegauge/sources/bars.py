@@ -9,26 +9,45 @@ from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
 REQUIRED = ("timestamp", *PRICES, "volume")
+#: Types of the columns that raw and prepared files can have.
+TYPES = {"timestamp": "timestamp", "local_time": "timestamp", "session_date": "date", "minute_of_day": "int", "is_rth": "boolean", "is_outlier": "boolean", "has_gap": "boolean"} | {
+    c: "double" for c in (*PRICES, "volume", "atr", "rsi", "avg_volume_lookback", "rvol", "stoch_k", "stoch_d")
+}
+#: Spellings of an unknown cell in text files.
+UNKNOWN = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """Lower-case names, the required columns checked and typed, times in UTC, NaN turned into null, and a symbol (empty where there is none).
+    """Lower-case names, the required columns checked, the known ones typed, times in UTC, NaN turned into null, and a symbol (empty where there is none).
 
-    Volumes are doubles, as files may hold 100.0 or fractions; whole numbers stay exact.
+    Text becomes null where it is one of UNKNOWN. bad_cells counts the row's cells that are neither that nor of their column's
+    type; they are null too. Volumes are doubles, as files may hold 100.0 or fractions; whole numbers stay exact.
     """
     df = df.toDF(*(c.lower() for c in df.columns))
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    prices = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in PRICES}
-    df = df.withColumns(prices | {"timestamp": F.col("timestamp").cast("timestamp"), "volume": F.nanvl(F.col("volume").cast("double"), F.lit(None).cast("double"))})
-    return df if "symbol" in df.columns else df.withColumn("symbol", F.lit(""))
+    given, columns, bad = dict(df.dtypes), {}, [F.col("bad_cells").cast("int")] if "bad_cells" in df.columns else []
+    for c, kind in TYPES.items():
+        if c not in given:
+            continue
+        cell = F.col(c)
+        if given[c] == "string":
+            cell = F.when(~F.trim(cell).isin(*UNKNOWN), F.trim(cell))
+            bad.append((cell.isNotNull() & cell.try_cast(kind).isNull()).cast("int"))
+            cell = cell.try_cast(kind)
+        cell = cell.cast(kind)
+        columns[c] = F.nanvl(cell, F.lit(None).cast("double")) if kind == "double" else cell
+    symbol = F.coalesce(F.col("symbol").cast("string"), F.lit("")) if "symbol" in df.columns else F.lit("")
+    return df.withColumns(columns | {"symbol": symbol, "bad_cells": sum(bad, F.lit(0))})
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files as one table with file_ord, the file's place in paths; .parquet is Parquet, anything else CSV with a header."""
+    """All files as one table with file_ord, the file's place in paths; .parquet is Parquet, anything else CSV with a header, read as text and then typed."""
     if not paths:
-        return spark.createDataFrame([], "timestamp timestamp, open double, high double, low double, close double, volume double, symbol string, file_ord int")
+        return spark.createDataFrame([], "timestamp timestamp, open double, high double, low double, close double, volume double, symbol string, bad_cells int, file_ord int")
     read = lambda p: spark.read.parquet(p) if p.lower().endswith(".parquet") else spark.read.option("header", True).csv(p)
     parts = [normalise(read(p)).withColumn("file_ord", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

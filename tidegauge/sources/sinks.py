@@ -45,22 +45,38 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+#: Bytes of a file that an executor takes whole to hash it; larger files are streamed by the driver, as SHA-256 has no parts.
+WHOLE = 1 << 29
+
+
 def file_hashes(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """SHA-256 of each file, those of folders too, read as a stream, so that size doesn't matter."""
+    """SHA-256 of each file, those of folders too: hashed on the executors, a row a file; only digests reach the driver, but for files that Spark's source passes over (empty and hidden ones) or that are too large for a row."""
     out, digest = {}, spark._jvm.org.apache.commons.codec.digest.DigestUtils
     for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        known = {r["path"]: r["digest"] for r in files.filter(F.col("length") <= WHOLE).select("path", F.sha2("content", 256).alias("digest")).collect()}
         fs, where = _at(spark, path)
-        files = fs.listFiles(where, True)
-        while files.hasNext():
-            found = files.next().getPath()
-            stream = fs.open(found)
-            try:
-                out[found.toString()] = digest.sha256Hex(stream)
-            finally:
-                stream.close()
+        found = fs.listFiles(where, True)
+        while found.hasNext():
+            own = found.next().getPath()
+            if own.toString() not in known:
+                stream = fs.open(own)
+                try:
+                    known[own.toString()] = digest.sha256Hex(stream)
+                finally:
+                    stream.close()
+        out |= known
     return out
 
 
+def code_hash() -> str:
+    """SHA-256 over all modules of the package, their names included."""
+    root, digest = Path(__file__).resolve().parent.parent, hashlib.sha256()
+    for path in sorted(root.rglob("*.py")):
+        digest.update(f"{path.relative_to(root)}\0".encode() + hashlib.sha256(path.read_bytes()).digest())
+    return digest.hexdigest()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, wherever the path points."""
     fs, where = _at(spark, path)
@@ -72,5 +88,5 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_metadata(spark: SparkSession, folder: str, command: str, args: dict, paths: list[str], config) -> None:
-    found = {"run_timestamp_utc": datetime.now(timezone.utc).isoformat(), "command": command, "args": args, "code_sha256": hashlib.sha256(Path(__file__).read_bytes()).hexdigest(), "data_sha256": file_hashes(spark, paths), "config": dataclasses.asdict(config)}
+    found = {"run_timestamp_utc": datetime.now(timezone.utc).isoformat(), "command": command, "args": args, "code_sha256": code_hash(), "data_sha256": file_hashes(spark, paths), "config": dataclasses.asdict(config)}
     write_text(spark, f"{folder}/run_metadata.json", json.dumps(found, indent=2, default=str))
