@@ -120,6 +120,31 @@ def test_numbers():
     assert tail(17, 3, low) == pytest.approx(0.025) and 1 - tail(17, 4, high) == pytest.approx(0.025)
 
 
+def test_tails_equal_exact_sums_and_large_sizes_are_quick():
+    import time
+    from fractions import Fraction
+    from math import comb, erf, sqrt
+
+    from tidegauge.functions.numbers import exact_intervals, tails
+
+    for n in (1, 2, 7, 30, 200):
+        for p in (Fraction(1, 1000), Fraction(1, 7), Fraction(1, 2), Fraction(97, 100)):
+            terms = [comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+            want = [float(sum(terms[x:])) for x in range(n + 2)]
+            got = tails(n, np.arange(n + 2), float(p))
+            assert np.allclose(got, want, rtol=1e-11, atol=1e-300) and got[0] == 1.0 and got[-1] == 0.0
+    began = time.time()
+    big = 10_000_000
+    # Normal with continuity correction: near enough at this size to see that nothing is lost.
+    assert tails(big, 5_002_000, 0.5) == pytest.approx((1 - erf((2000 - 0.5) / sqrt(big / 4) / sqrt(2))) / 2, rel=1e-4)
+    assert time.time() - began < 1
+    k, n = np.array([0, 1, 3, 17, 500_000, 0, 5]), np.array([10, 10, 17, 17, 1_000_000, 0, 5])
+    low, high = exact_intervals(k, n)
+    for a, b, x, y in zip(k[1:5], n[1:5], low[1:5], high[1:5], strict=True):
+        assert tail(b, a, x) == pytest.approx(0.025, rel=1e-9) and (a == b or 1 - tail(b, a + 1, y) == pytest.approx(0.025, rel=1e-9))
+    assert low[0] == 0 and high[3] == 1 and np.isnan(low[5]) and low[6] == pytest.approx(0.025**0.2)
+
+
 @pytest.mark.parametrize("n", [5, 40])
 def test_bootstrap_equals_a_plain_loop(n):
     data, block, rng = np.random.default_rng(0).normal(size=n), 10, np.random.default_rng(42)
