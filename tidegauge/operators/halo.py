@@ -11,26 +11,35 @@ from pyspark.sql import functions as F
 RANGE = 8192
 
 
+DAY = "halo_day_"
+
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """rows with the day they are dealt by. Operators that find that column leave it and its partitions as they are, so that a chain of them deals rows by day only once."""
+    return rows if DAY in rows.columns else rows.withColumn(DAY, F.to_date("timestamp"))
+
+
 def _handed_on(rows: DataFrame, by: tuple[str, ...], at: list, values: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """rows, which have day_ and in the last row of each day, in order of at, the day's own results, with the values given to all rows of the day.
+    """rows, which have their day and in the last row of each day, in order of at, the day's own results, with the values given to all rows of the day.
 
     A value is worked out in a window over the days' last rows, one row a day; all other rows stay with their day. The rows go
     through in one line of exchanges, none is read twice.
     """
-    inside = Window.partitionBy(*by, "halo_day_").orderBy(*at)
+    inside = Window.partitionBy(*by, DAY).orderBy(*at)
     rows = rows.withColumn("end_", F.lead(F.lit(1)).over(inside).isNull())
-    ends = Window.partitionBy(*by, "end_", F.when(~F.col("end_"), F.col("halo_day_")))
+    ends = Window.partitionBy(*by, "end_", F.when(~F.col("end_"), F.col(DAY)))
     rows = rows.withColumns({c: F.when(F.col("end_"), make(ends)) for c, make in values.items()})
-    return rows.withColumns({c: F.first(c, True).over(Window.partitionBy(*by, "halo_day_")) for c in values}).drop("end_")
+    return rows.withColumns({c: F.first(c, True).over(Window.partitionBy(*by, DAY)) for c in values}).drop("end_")
 
 
 def running(rows: DataFrame, values: dict[str, Column], by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """rows with the running sum of each named value in order of timestamp: days' sums are added up over one row a day, rows inside their day."""
-    inside = Window.partitionBy(*by, "halo_day_").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("halo_day_", F.to_date("timestamp")).withColumns({f"{c}_l_": F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in values.items()})
-    before = lambda c: lambda ends: F.coalesce(F.sum(f"{c}_l_").over(ends.orderBy("halo_day_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy(*by, DAY).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    spare = [] if DAY in rows.columns else [DAY]
+    rows = by_day(rows).withColumns({f"{c}_l_": F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in values.items()})
+    before = lambda c: lambda ends: F.coalesce(F.sum(f"{c}_l_").over(ends.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = _handed_on(rows, by, ["timestamp"], {f"{c}_c_": before(c) for c in values})
-    return rows.withColumns({c: F.col(f"{c}_l_") + F.col(f"{c}_c_") for c in values}).drop("halo_day_", *(f"{c}_{x}_" for c in values for x in "lc"))
+    return rows.withColumns({c: F.col(f"{c}_l_") + F.col(f"{c}_c_") for c in values}).drop(*spare, *(f"{c}_{x}_" for c in values for x in "lc"))
 
 
 def numbered(bars: DataFrame, name: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -44,13 +53,14 @@ def carried(rows: DataFrame, values: dict[str, Column], at: Column, by: tuple[st
     Inside its day a row looks by itself; the last known value of each day is handed on over one row a day.
     """
     turn = (lambda c: F.col(c).desc()) if ahead else F.col
-    inside = Window.partitionBy(*by, "halo_day_").orderBy(turn("at_"))
+    inside = Window.partitionBy(*by, DAY).orderBy(turn("at_"))
     near, far = (inside.rowsBetween(Window.unboundedPreceding, to) for to in (-1, 0))
-    rows = rows.withColumns({"halo_day_": F.to_date("timestamp"), "at_": at})
+    spare = [] if DAY in rows.columns else [DAY]
+    rows = by_day(rows).withColumn("at_", at)
     rows = rows.withColumns({f"{c}_l_": F.last(v, True).over(near) for c, v in values.items()} | {f"{c}_d_": F.last(v, True).over(far) for c, v in values.items()})
-    before = lambda c: lambda ends: F.last(f"{c}_d_", True).over(ends.orderBy(turn("halo_day_")).rowsBetween(Window.unboundedPreceding, -1))
+    before = lambda c: lambda ends: F.last(f"{c}_d_", True).over(ends.orderBy(turn(DAY)).rowsBetween(Window.unboundedPreceding, -1))
     rows = _handed_on(rows, by, [turn("at_")], {f"{c}_c_": before(c) for c in values})
-    return rows.withColumns({c: F.coalesce(f"{c}_l_", f"{c}_c_") for c in values}).drop("halo_day_", "at_", *(f"{c}_{x}_" for c in values for x in "ldc"))
+    return rows.withColumns({c: F.coalesce(f"{c}_l_", f"{c}_c_") for c in values}).drop(*spare, "at_", *(f"{c}_{x}_" for c in values for x in "ldc"))
 
 
 def bounded(bars: DataFrame, before: int, after: int, *steps: Callable[[WindowSpec], dict[str, Column]], place: str = "", by: tuple[str, ...] = ("symbol",), size: int = RANGE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidegauge.config import IndicatorConfig
-from tidegauge.operators.halo import bounded, numbered, running
+from tidegauge.operators.halo import DAY, bounded, by_day, numbered, running
 from tidegauge.session import cut
 
 COLUMNS = ("atr", "rsi", "rvol", "stoch_k", "stoch_d")
@@ -83,7 +83,7 @@ def smoothed(bars: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
             out[f"{name}_from_"], out[f"{name}_gap_"] = [x for x, _ in starts], [x for _, x in starts]
         return out
 
-    schema = StructType([*bars.schema.fields, *(StructField(name, DoubleType()) for name in columns)])
+    schema = StructType([*bars.drop(DAY).schema.fields, *(StructField(name, DoubleType()) for name in columns)])
 
     def recur(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp", kind="stable")
@@ -93,7 +93,7 @@ def smoothed(bars: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
             pdf[name] = pd.Series(np.concatenate([head, values])).ewm(span=span, adjust=False).mean().to_numpy()[len(head):]
         return pdf[schema.names]
 
-    days = cut(bars.withColumn("day_", F.to_date("timestamp")))  # read twice
+    days = cut(bars.withColumn("day_", F.to_date("timestamp")).drop(DAY))  # read twice
     needed = days.select("symbol", "day_", "timestamp", *{column for column, _ in columns.values()})
     starts = needed.groupBy("symbol", "day_").applyInPandas(summarise, summary).groupBy("symbol").applyInPandas(chain, carry)
     return days.join(starts, ["symbol", "day_"]).groupBy("symbol", "day_").applyInPandas(recur, schema)
@@ -132,7 +132,7 @@ def stochastics(bars: DataFrame, n: int, d: int) -> DataFrame:
 def add_indicators(bars: DataFrame, config: IndicatorConfig) -> DataFrame:
     """bars with atr, rsi, avg_volume_lookback, rvol, stoch_k and stoch_d; NaN is null. Frames of rows share one pass over ranges."""
     n, d = config.stoch_n, config.stoch_d
-    out = bounded(relative_volume(bars, config.rvol_lookback_sessions), n + d, 0, _tr, _gain_and_loss, *_stochastics(n, d), place="place_").drop("place_")
+    out = bounded(relative_volume(by_day(bars), config.rvol_lookback_sessions), n + d, 0, _tr, _gain_and_loss, *_stochastics(n, d), place="place_").drop("place_")
     out = smoothed(out, {"atr": ("tr", config.atr_n), "up_": ("gain_", config.rsi_n), "down_": ("loss_", config.rsi_n)})
     out = out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("atr", "up_", "down_")})
     return out.withColumn("rsi", 100 - 100 / (1 + F.col("up_") / (F.col("down_") + 1e-12))).drop("tr", "gain_", "loss_", "up_", "down_")

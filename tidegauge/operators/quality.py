@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import DataQualityConfig
-from tidegauge.operators.halo import carried
+from tidegauge.operators.halo import DAY, by_day, carried
 
 _BY = ("file_ord", "symbol")
 
@@ -34,6 +34,7 @@ def marked(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
     session_date, the threshold times the returns' sample deviation in the file and symbol. has_gap: more minutes than allowed
     since the survivor before it in the same session. Files are judged apart, as symbols are.
     """
+    spare, bars = [] if DAY in bars.columns else [DAY], by_day(bars)
     no, dropped = F.lit(None).cast("string"), F.col("dropped")
     out = bars.withColumn("dropped", F.when(bad_ohlc(), "ohlc") if config.check_ohlc_integrity else no)
     if config.max_price_change_pct > 0:
@@ -59,7 +60,7 @@ def marked(bars: DataFrame, config: DataQualityConfig) -> DataFrame:
         last = F.col("last_")
         minutes = (F.unix_micros("timestamp") - F.unix_micros(last["timestamp"])) / 60e6
         gap = stays & F.coalesce((last["session_date"] == F.col("session_date")) & (minutes > config.max_gap_minutes), F.lit(False))
-    return out.withColumns({"is_outlier": outlier, "has_gap": gap}).drop("r_", "m_", "mad_", "dev_", "last_")
+    return out.withColumns({"is_outlier": outlier, "has_gap": gap}).drop("r_", "m_", "mad_", "dev_", "last_", *spare)
 
 
 def validate(bars: DataFrame, config: DataQualityConfig) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import EngineConfig, override
 from tidegauge.operators import indicators, quality, sessions
 from tidegauge.operators.episodes import detect_episodes
-from tidegauge.operators.halo import carried
+from tidegauge.operators.halo import DAY, by_day, carried
 from tidegauge.operators.pivots import detect_pivots
 from tidegauge.operators.strata import bootstrap_intervals, metric_summary, outcome_rates, stratify
 from tidegauge.operators.zones import detect_zones
@@ -23,14 +23,14 @@ from tidegauge.sources.bars import first_of_each_time, normalise, read_files
 
 def marked_frame(bars: DataFrame, config: EngineConfig) -> DataFrame:
     """Raw bars with file_ord, one row a file, time and symbol, annotated and marked by the filters; rows without a time are left out."""
-    once = first_of_each_time(bars.filter("timestamp is not null"), ["file_ord", "symbol", "timestamp"])
+    once = first_of_each_time(by_day(bars.filter("timestamp is not null")), ["file_ord", "symbol"])
     return quality.marked(sessions.annotate_sessions(once, config.session), config.data_quality)
 
 
 def prepare_marked(rows: DataFrame, config: EngineConfig) -> DataFrame:
     """Marked rows to prepared bars: those that stay, one a time and symbol, with indicators."""
-    clean = first_of_each_time(rows.filter("dropped is null").drop("dropped", "bad_cells"), ["symbol", "timestamp"])
-    return indicators.add_indicators(clean, config.indicators)
+    clean = first_of_each_time(rows.filter("dropped is null").drop("dropped", "bad_cells"), ["symbol"])
+    return indicators.add_indicators(clean, config.indicators).drop(DAY)
 
 
 def prepare_frame(bars: DataFrame, config: EngineConfig) -> DataFrame:

@@ -105,8 +105,8 @@ def first_of_times(spark, sf_dir):
     again = own.filter("bar_idx % 101 = 3 or bar_idx > 2000").withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")}).withColumn("file_ord", F.lit(1))
     twice = again.filter("bar_idx % 7 = 0").withColumns({c: F.col(c) + 2 for c in ("open", "high", "low", "close")})
     every = own.filter("bar_idx <= 2500").withColumn("file_ord", F.lit(0)).unionByName(again).unionByName(twice)
-    each = first_of_each_time(every, ["file_ord", "symbol", "timestamp"])
-    return first_of_each_time(each, ["symbol", "timestamp"]).select(_text("timestamp"), "file_ord", "open", "high", "low", "close")
+    each = first_of_each_time(every, ["file_ord", "symbol"])
+    return first_of_each_time(each, ["symbol"]).select(_text("timestamp"), "file_ord", "open", "high", "low", "close")
 
 
 def unknown_pivots(spark, sf_dir):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.halo import DAY, by_day
+
 PRICES = ("open", "high", "low", "close")
 REQUIRED = ("timestamp", *PRICES, "volume")
 #: Types of the columns that raw and prepared files can have.
@@ -54,9 +56,11 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def first_of_each_time(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each of keys: of the first file, and there of least prices and volume, as rows have no order of their own."""
-    order = Window.partitionBy(*keys).orderBy("file_ord", *PRICES, "volume")
-    return bars.withColumn("row_", F.row_number().over(order)).filter("row_ = 1").drop("row_")
+    """One row for each time of each of keys: of the first file, and there of least prices and volume, as rows have no order of their own."""
+    spare = [] if DAY in bars.columns else [DAY]
+    order = Window.partitionBy(*keys, DAY).orderBy("timestamp", "file_ord", *PRICES, "volume")
+    seen = by_day(bars).withColumn("seen_", F.lag("timestamp").over(order))
+    return seen.filter(F.col("seen_").isNull() | (F.col("seen_") != F.col("timestamp"))).drop("seen_", *spare)
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
