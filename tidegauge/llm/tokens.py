@@ -114,6 +114,7 @@ def _count(name: str):
 def token_counts(docs: DataFrame, name: str = NAME, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs; other columns are left out. Null texts count as empty: no tokens.
 
+    Repeated rows give a row each; very long texts are counted whole; an empty table gives an empty one.
     Nothing is shuffled; a worker keeps one table of counts of bounded size over all its tasks.
     """
     sized = docs.select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
