@@ -225,6 +225,28 @@ def test_clusters_of_price_levels_equal_the_fold_of_pivots(spark, span):
     assert sorted(map(tuple, got)) == sorted((p, t.to_pydatetime(), names[c]) for p, t, c, n in zip(pivots["price"], pivots["center_time"], want, sizes, strict=True) if n >= 2)
 
 
+def test_zones_of_several_settings_equal_each_alone_in_one_plan(spark, small):
+    from tidegauge.operators.pivots import detect_pivots, detect_pivots_each
+    from tidegauge.operators.zones import detect_zones
+    from tidegauge.queries import _prepared
+    from tidegauge.session import cut
+
+    bars = cut(_prepared(spark, small, 60))
+    settings = [{}, {"pivot_k": 2, "zone_width_points": 4.0, "cluster_width_points": 4.0}, {"zone_width_alpha_atr": 0.7, "fdr": False}, {"max_cluster_span_days": 3, "merge_tolerance_points": 0.0}, {"pivot_k": 2, "tick_size": 0.0, "significance_test": False, "expire_days": 3}]
+    configs = [override(ZoneConfig(), x) for x in settings]
+    names = ["symbol", "id", "type", "level", "width", "activation_time", "expiry_time", "touches", "p_value"]
+    rows = lambda df: sorted(map(tuple, df.select(*names).collect()))
+    together = cut(detect_zones(bars, detect_pivots_each(bars, configs), configs))
+    found = 0
+    for kind, config in enumerate(configs):
+        alone = rows(detect_zones(bars, detect_pivots(bars, config), config))
+        assert rows(together.filter(F.col("kind") == kind)) == alone, settings[kind]
+        found += len(alone)
+    assert found > 10
+    nodes = lambda own: sum("+-" in line or ":-" in line for line in detect_pivots_each(bars, own)._jdf.queryExecution().analyzed().toString().splitlines())
+    assert nodes(configs[:2]) == nodes([override(ZoneConfig(), {"pivot_k": 2 + i % 4, "tick_size": i / 8}) for i in range(60)])
+
+
 def test_config():
     with pytest.raises(ValueError):
         SessionConfig(rth_start="25:00")

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
-_EPS = 1e-16
+_EPS = 1e-15
 _small_lgamma = np.frompyfunc(lgamma, 1, 1)
 
 
@@ -54,13 +54,14 @@ def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     front = _front(a, b, y) / a
     tiny = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
     c, d = np.ones_like(y), 1 / tiny(1 - n * y / (a + 1))
-    h = d.copy()
+    h, open_ = d.copy(), np.ones(y.shape, bool)
     for m in range(1, 100_000):
         for up in (m * (b - m) * y / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (n + m) * y / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / tiny(1 + up * d)
             c = tiny(1 + up / c)
-            h = h * c * d
-        if (np.abs(c * d - 1) < 3 * _EPS).all():
+            h = np.where(open_, h * c * d, h)
+        open_ &= np.abs(c * d - 1) > _EPS  # what is done stays, so no element depends on its neighbours
+        if not open_.any():
             break
     found = np.clip(front * h, 0.0, 1.0)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(swap, 1 - found, found)))
@@ -89,16 +90,16 @@ def exact_intervals(k: np.ndarray, n: np.ndarray, alpha: float = 0.05) -> tuple[
     free = (a > 0) & (b > 0) & (n > 0)
     a, b = np.where(free, a, 1.0), np.where(free, b, 1.0)
     low, high = np.zeros(a.shape), np.ones(a.shape)
-    at = a / (a + b)
+    at, open_ = a / (a + b), np.ones(a.shape, bool)
     for _ in range(100):
         over = beta_share(a, b, at) - wanted
         low, high = np.where(over < 0, at, low), np.where(over < 0, high, at)
         with np.errstate(divide="ignore", invalid="ignore"):
             step = at - over * at * (1 - at) / _front(a, b, at)
         new = np.where((step > low) & (step < high) & np.isfinite(step), step, (low + high) / 2)
-        if (np.abs(new - at) <= 1e-15 + 4e-16 * np.abs(new)).all():
+        at, open_ = np.where(open_, new, at), open_ & (np.abs(new - at) > _EPS * (1 + np.abs(new)))
+        if not open_.any():
             break
-        at = new
     below, above = np.where(k <= 0, 0.0, at[0]), np.where(k >= n, 1.0, at[1])
     return np.where(n > 0, below, np.nan), np.where(n > 0, above, np.nan)
 

@@ -29,3 +29,27 @@ def detect_pivots(bars: DataFrame, config: ZoneConfig) -> DataFrame:
     down = (F.col("low_n") == full) & (F.col("low") <= F.col("low_best") + config.tick_size) & (F.col("low") < F.col("low_before")) & (F.col("low") <= F.col("low_after"))
     kinds = F.array_compact(F.array(F.when(up, F.struct(F.lit("HIGH").alias("type"), F.col("high").alias("price"))), F.when(down, F.struct(F.lit("LOW").alias("type"), F.col("low").alias("price")))))
     return seen.withColumn("p", F.explode(kinds)).select("symbol", "p.type", "p.price", F.col("timestamp").alias("center_time"), "confirm_time", "index", "session_date")
+
+
+def detect_pivots_each(bars: DataFrame, configs: list[ZoneConfig]) -> DataFrame:
+    """The pivots of each config, in kind its place in the list; one plan, whatever their number.
+
+    A bar carries the bars around it as far as the largest k reaches; each different pair of k and tick size is a row of a table
+    that is exploded against them, and its pivots go to all kinds that share it.
+    """
+    pairs: dict[tuple, list[int]] = {}
+    for kind, c in enumerate(configs):
+        pairs.setdefault((c.pivot_k, float(c.tick_size)), []).append(kind)
+    widest = max(k for k, _ in pairs)
+    frames = lambda order: {"around": F.collect_list(F.struct("index", "timestamp", "high", "low")).over(order.rowsBetween(-widest, widest))}
+    seen = bounded(numbered(bars.select("symbol", "timestamp", "session_date", "high", "low"), "index"), widest, widest, frames, place="index")
+    settings = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(tick).alias("tick"), F.array(*map(F.lit, kinds)).alias("kinds")) for (k, tick), kinds in pairs.items()))
+    rows = seen.withColumn("s", F.explode(settings)).withColumn("near", F.filter("around", lambda x: F.abs(x["index"] - F.col("index")) <= F.col("s.k"))).drop("around")
+    at = lambda i, c: F.get(F.filter("near", lambda x: x["index"] == F.col("index") + i), F.lit(0))[c]
+    full = lambda c: F.size(F.filter("near", lambda x: x[c].isNotNull())) == 2 * F.col("s.k") + 1
+    best = lambda c, pick: pick(F.transform("near", lambda x: x[c]))
+    up = full("high") & (F.col("high") >= best("high", F.array_max) - F.col("s.tick")) & (F.col("high") > at(-1, "high")) & (F.col("high") >= at(1, "high"))
+    down = full("low") & (F.col("low") <= best("low", F.array_min) + F.col("s.tick")) & (F.col("low") < at(-1, "low")) & (F.col("low") <= at(1, "low"))
+    kinds = F.array_compact(F.array(F.when(up, F.struct(F.lit("HIGH").alias("type"), F.col("high").alias("price"))), F.when(down, F.struct(F.lit("LOW").alias("type"), F.col("low").alias("price")))))
+    found = rows.withColumn("confirm_time", at(F.col("s.k"), "timestamp")).withColumn("p", F.explode(kinds))
+    return found.select(F.explode("s.kinds").alias("kind"), "symbol", "p.type", "p.price", F.col("timestamp").alias("center_time"), "confirm_time", "index", "session_date")

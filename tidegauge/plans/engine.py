@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tidegauge.config import EngineConfig, override
 from tidegauge.operators import indicators, quality, sessions
 from tidegauge.operators.episodes import detect_episodes
 from tidegauge.operators.halo import DAY, by_day, carried
-from tidegauge.operators.pivots import detect_pivots
+from tidegauge.operators.pivots import detect_pivots, detect_pivots_each
 from tidegauge.operators.strata import bootstrap_intervals, metric_summary, outcome_rates, stratify
 from tidegauge.operators.zones import detect_zones
 from tidegauge.session import cut
@@ -100,23 +99,21 @@ def sweep(bars: DataFrame, grid: list[dict]) -> DataFrame:
     """place, run_id, params, n_valid_episodes, n_invalid_episodes and the four rates of each set of settings, in one job.
 
     Bars are prepared once with the default settings and written to the checkpoint folder; only the groups zones and episode
-    take effect. Zones are found once for each different group of zone settings, then replayed in one keyed pass over the bars
-    for all sets. A set without valid episodes has null rates.
+    take effect. Zones are found for all different groups of zone settings together, keyed by their place in a list, then
+    followed in one keyed pass over the bars for all sets, so a grid of hundreds is one plan of the same size. A set without valid episodes has null rates.
     """
     bars = cut(ensure_prepared(bars, EngineConfig()))
     configs = [override(EngineConfig(), params) for params in grid]
     kinds: dict[str, tuple] = {}
     for place, config in enumerate(configs):
         kinds.setdefault(repr(config.zones), (config.zones, []))[1].append(place)
-    found = [
-        detect_zones(bars, detect_pivots(bars, own), own).select("*", F.explode(F.array(*map(F.lit, places))).alias("place"))
-        for own, places in kinds.values()
-    ]
     spark = bars.sparkSession
     sets = spark.createDataFrame([(i, run_id(x), json.dumps(x, sort_keys=True)) for i, x in enumerate(grid)], "place int, run_id string, params string")
     if not grid:
         return sets.selectExpr("*", "0L AS n_valid_episodes", "0L AS n_invalid_episodes", *(f"0D AS {c}" for c in RATES.values()))
-    counted = detect_episodes(bars, cut(reduce(DataFrame.unionByName, found)), [c.episode for c in configs], "place").groupBy("place").agg(
+    zones, places = [c for c, _ in kinds.values()], F.array(*(F.array(*map(F.lit, p)) for _, p in kinds.values()))
+    found = detect_zones(bars, detect_pivots_each(bars, zones), zones).withColumn("place", F.explode(F.element_at(places, F.col("kind") + 1))).drop("kind")
+    counted = detect_episodes(bars, cut(found), [c.episode for c in configs], "place").groupBy("place").agg(
         F.count_if(F.col("outcome") != "INVALID").alias("n_valid_episodes"), F.count_if(F.col("outcome") == "INVALID").alias("n_invalid_episodes"),
         *(F.count_if(F.col("outcome") == outcome).alias(rate) for outcome, rate in RATES.items()),
     )
