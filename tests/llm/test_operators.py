@@ -682,3 +682,14 @@ def test_suffix_dedup_of_rows_repeated_over_blocks(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in suffixes.remove_repeats(table, block_bytes=2000).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == _brute_removed(rows)
+
+
+def test_shards_are_written_as_runs_of_slots(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "FILE_ROWS", 10)
+    shards.write_shards(documents.select("doc_id", "text"), f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(r["doc_id"] for r in back.collect()) == sorted(r["doc_id"] for r in documents.collect())
+    for folder in (tmp_path / "s").glob("shard=*"):
+        runs = sorted(folder.glob("run_=*"), key=lambda x: int(x.name[5:]))
+        own = [r["slot"] for run in runs for f in sorted(run.glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert len(runs) > 1 and own == list(range(len(own)))

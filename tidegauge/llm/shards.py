@@ -10,6 +10,9 @@ from tidegauge.llm.common import free_name, spread, whole_text
 #: Records of a bucket, about; buckets of a run of buckets that one window numbers; shards.
 BUCKET_ROWS, RUN, SHARDS, SEED = 256, 4096, 8, 7
 
+#: Slots of one file of a shard.
+FILE_ROWS = 100_000
+
 
 def _shuffled(seed: int):
     """Fisher-Yates over bucket_rows: for i from the last down, swap i with a keyed draw from 0 to i. Swaps move places, not records."""
@@ -57,8 +60,13 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
 
 
 def write_shards(docs: DataFrame, path: str, **settings) -> None:
-    """Writes docs, shuffled, as Parquet in a folder for each shard, by slot."""
-    shuffle(docs, **settings).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes docs, shuffled, as Parquet in a folder for each shard: files are runs of FILE_ROWS slots, in order, with rows by slot.
+
+    A task writes some runs, not a shard, so shards of any size are written side by side. run_ names a run and stays a
+    folder below the shard's, so that a reader finds the order; rows that come back are those of docs. An empty table gives no files.
+    """
+    out = shuffle(docs, **settings).withColumn("run_", F.floor(F.col("slot") / FILE_ROWS))
+    out.repartition("shard", "run_").sortWithinPartitions("shard", "run_", "slot").write.partitionBy("shard", "run_").parquet(path)
 
 
 def op10(docs: DataFrame) -> DataFrame:
