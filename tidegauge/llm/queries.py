@@ -8,6 +8,7 @@ from tidegauge.llm.fixity import OP4_SQL
 from tidegauge.llm.interactions import OP11_SQL
 from tidegauge.llm.repair import OP12_SQL
 from tidegauge.llm.subtrees import OP13_SQL
+from tidegauge.llm.suffixes import OP5_SQL
 from tidegauge.llm.urls import OP2_SQL
 
 
@@ -40,4 +41,4 @@ QUERIES = {
     "op13_subtree_dedup": _query("subtrees", "op13", "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_subtree_dedup": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": OP2_SQL, "op4_fixity_audit": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_subtree_dedup": OP13_SQL}
