@@ -110,7 +110,9 @@ def keyed_intervals(stratified: DataFrame, config: EpisodeConfig, n_boot: int =
     placed = cut(ranked(_melted(stratified), GROUP, ["zone_id", "touch_time"], "place"))
     sizes = placed.groupBy(*GROUP).agg(F.count("*").alias("n")).filter("n > 1")
     few = placed.join(sizes.filter(F.col("n") <= most), GROUP).groupBy(*GROUP, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
-    chunks = few.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(CHUNK)))).repartition(*GROUP, "first")
+    # A number of partitions that adaptive execution leaves alone: chunks are small in bytes, but long to work out.
+    tasks = int(stratified.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = few.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(CHUNK)))).repartition(tasks, *GROUP, "first")
 
     def run(batches):
         for pdf in batches:
