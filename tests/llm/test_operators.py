@@ -59,14 +59,38 @@ def test_nearest_over_several_blocks(spark, monkeypatch):
     assert _held_against_brute_force(table) >= 0.9
 
 
-def test_windows_verify_a_share_only(medium):
-    import pyarrow.parquet as pq
-
-    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
-    own = _vectors([(r["vec_id"], r["embedding"]) for r in rows])
-    index = ann.Index(np.array(list(own)), np.stack(list(own.values())))
-    shares = [len(index.search(i, own[i], 21)[0]) / len(own) for i in own if i % 20 == 0]
-    assert 0.5 <= np.mean(shares) < 0.65
+def _share_and_recall(vectors, k=20):
+    """Mean share of a block that is verified for a query, and recall of the k nearest among them."""
+    ids, shares, hits = np.arange(len(vectors)), [], []
+    index = ann.Index(ids, vectors)
+    for i in ids[::20]:
+        found = index.search(i, vectors[i], k)[0]
+        scores = vectors @ vectors[i]
+        scores[i] = -np.inf
+        shares.append(len(found) / len(ids))
+        hits.append(len(set(np.argsort(-scores, kind="stable")[:k]) & set(found)) / k)
+    return np.mean(shares), np.mean(hits)
+
+
+def test_clusters_are_pruned_and_scattered_vectors_found(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = rng.standard_normal((60, 64))
+    for spread in (0.1, 0.5):
+        share, recall = _share_and_recall(unit(centres[rng.integers(0, 60, 4000)] + spread * rng.standard_normal((4000, 64))))
+        assert share < 0.05 and recall >= 0.95
+    share, recall = _share_and_recall(unit(rng.standard_normal((4000, 6)) @ rng.standard_normal((6, 64))))
+    assert share < 0.05 and recall >= 0.95
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    share, recall = _share_and_recall(np.stack(list(_vectors([(r["vec_id"], r["embedding"]) for r in rows]).values())))
+    assert share < 0.75 and recall >= 0.9  # next to no structure: nearly all are about as far as the 20th
+
+
+def test_the_reach_of_a_window():
+    """Vectors at the distance that a window is sized for reach the threshold as often as said."""
+    rng, half = np.random.default_rng(7), ann.reach_of(0.9)
+    hits = (np.abs(rng.standard_normal((20_000, ann.PROJECTIONS))) <= half).sum(1) >= np.ceil(ann.COLLISIONS * ann.PROJECTIONS)
+    assert abs(hits.mean() - 0.9) < 0.01 and ann.reach_of(1) == np.inf
 
 
 def test_nearest_odd_vectors(spark):
@@ -83,7 +107,7 @@ def test_nearest_of_repeated_rows(spark):
     rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 60)]
     query, near = [1.0, 0.5, 0.0, -0.5], [0.9, 0.5, 0.0, -0.5]
     table = lambda more: spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
-    ranked = lambda more: [tuple(r) for r in ann.nearest(table(more), every=100, verify=1.0).orderBy("query_id", "rank").collect()]
+    ranked = lambda more: [tuple(r) for r in ann.nearest(table(more), every=100, confidence=1.0).orderBy("query_id", "rank").collect()]
     once = ranked([(0, query)])
     assert len(once) == 20 and ranked([(0, query)] * 20 + rows * 2) == once
     # ids of several vectors: queries 0 and 100, candidate 7 with a thousand vectors about the query

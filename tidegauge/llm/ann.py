@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb, erf, inf, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 from tidegauge.session import cut
 
 #: Projections, share of them in which a candidate must fall into the query's window, first half-width of a window and its
-#: growth, in standard deviations of the block's projections; share of a block to verify at least.
-PROJECTIONS, COLLISIONS, FIRST, GROWTH, VERIFY, SEED = 64, 0.6, 0.4, 1.07, 0.5, 11
+#: growth, in standard deviations of the block's projections; chance with which a vector as near as the k-th found reaches the threshold.
+PROJECTIONS, COLLISIONS, FIRST, GROWTH, CONFIDENCE, SEED = 64, 0.6, 0.4, 1.07, 0.9, 11
 #: Vectors of a block, queries of a query block, query blocks that one task takes for a block.
 BLOCK, QUERIES, TURNS = 8192, 512, 4
 K, EVERY = 20, 20
@@ -23,6 +26,24 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [vectors.shape[1]], "b": [pdf["b"].iloc[0]], "ids": [ids.tobytes()], "vs": [vectors.tobytes()]})
 
 
+@cache
+def reach_of(confidence: float) -> float:
+    """The half-width, in distances of a vector from the query, at which the vector reaches the threshold with this chance.
+
+    Differences of projections are normal with the distance as deviation, so collisions of one vector are binomial.
+    """
+    if confidence >= 1:
+        return inf
+    need = int(np.ceil(COLLISIONS * PROJECTIONS))
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = erf(middle / sqrt(2))
+        chance = sum(comb(PROJECTIONS, i) * p**i * (1 - p) ** (PROJECTIONS - i) for i in range(need, PROJECTIONS + 1))
+        low, high = (middle, high) if chance < confidence else (low, middle)
+    return high
+
+
 class Index:
     """A block's vectors with one sorted array for each projection. Lengths are levelled by one more component, so that the
     nearest by distance is the one of largest inner product."""
@@ -32,6 +53,7 @@ class Index:
         scaled = vectors * 2.0 ** -np.frexp(np.abs(vectors).max())[1]  # so that squares of huge components stay finite
         squares = (scaled * scaled).sum(1)
         tail = np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]
+        self.scaled = scaled
         self.directions = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         self.length = float(np.sqrt(squares.max()))
         values = np.round(np.concatenate([scaled, tail], axis=1) @ self.directions, 9).T
@@ -53,27 +75,38 @@ class Index:
         inside = self.place - low.astype(self.place.dtype)[:, None] < (high - low).astype(self.place.dtype)[:, None]
         return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
 
-    def count(self, found: np.ndarray) -> int:
-        """How many ids the vectors at these positions have."""
-        return len(found) if self.n_ids == len(self.ids) else len(np.unique(self.ids[found]))
+    def kth(self, found: np.ndarray, likeness: np.ndarray, k: int) -> float | None:
+        """The k-th best likeness of the vectors at these positions, an id counted once; None if there are fewer ids."""
+        own = likeness[found]
+        if self.n_ids < len(self.ids):
+            order = np.argsort(-own, kind="stable")
+            own = own[order[np.unique(self.ids[found][order], return_index=True)[1]]]
+        return None if len(own) < k else float(np.partition(own, len(own) - k)[len(own) - k])
 
-    def search(self, qid: int, query: np.ndarray, k: int, verify: float = VERIFY) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, qid: int, query: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the vectors verified for the query; those of its own id are left out.
 
-        Level by level the windows widen by GROWTH, and with them the collisions grow; the first level at which vectors
-        of enough ids reach the threshold is found by doubling steps, then bisection. All vectors that reach it there are verified.
+        Level by level the windows widen by GROWTH, and with them the collisions grow; vectors that reach the threshold are
+        verified. The windows are wide enough once a vector at the distance of the k-th best so far would reach the threshold with
+        the chance `confidence`: nearer ones reach it more surely still. Wider windows only find more and nearer ones, so the
+        first such level is found by doubling steps, then bisection. How many are verified follows from the distances.
         """
         others = self.ids != qid
-        n = self.n_ids - (not others.all())
-        need, enough = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, max(k, int(np.ceil(verify * n))))
+        need, n_others = int(np.ceil(COLLISIONS * PROJECTIONS)), int(others.sum())
         query_ = query * 2.0 ** -np.frexp(np.abs(query).max())[1]
-        centre = np.concatenate([query_ / np.linalg.norm(query_) * self.length, [0.0]]) @ self.directions
-        reach, enoughs = {}, {}
+        query_ = query_ / np.linalg.norm(query_)
+        centre = np.concatenate([query_ * self.length, [0.0]]) @ self.directions
+        reach, fulls, likeness = {}, {}, np.full(len(self.ids), np.nan)
 
         def full(level: int) -> bool:
-            reach[level] = np.flatnonzero((self.collisions(centre, FIRST * self.step * GROWTH**level) >= need) & others)
-            enoughs[level] = self.count(reach[level]) >= enough
-            return enoughs[level]
+            half = FIRST * self.step * GROWTH**level
+            found = reach[level] = np.flatnonzero((self.collisions(centre, half) >= need) & others)
+            new = found[np.isnan(likeness[found])]
+            likeness[new] = self.scaled[new] @ query_
+            best = self.kth(found, likeness, k)
+            near = best is not None and half >= reach_of(confidence) * sqrt(max(0.0, 2 * self.length * (self.length - best)))
+            fulls[level] = near or len(found) == n_others
+            return fulls[level]
 
         # Queries of a block need much the same level, so the search for the first full one starts from the last query's.
         low, high, step = -1, self.level, 1
@@ -81,12 +114,12 @@ class Index:
             low, high, step = high, high + step, 2 * step
         while low < 0 < high and (below := max(0, high - step)) < high and full(below):
             high, step = below, 2 * step
-        low = max([low, *(x for x in reach if not enoughs[x] and x < high)])
+        low = max([low, *(x for x in reach if not fulls[x] and x < high)])
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (low, middle) if full(middle) else (middle, high)
         self.level = high
-        found = reach[high]
+        found = np.flatnonzero(~np.isnan(likeness))
         with np.errstate(over="ignore", invalid="ignore"):
             return found, np.einsum("ij,j->i", self.vectors[found], query)
 
@@ -104,7 +137,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool):
     return ids[order], scores[order]
 
 
-def _search(k: int, verify: float):
+def _search(k: int, confidence: float):
     def run(frames):
         known, index = None, None
         for pdf in frames:
@@ -113,7 +146,7 @@ def _search(k: int, verify: float):
                     known, index = (row.dim, row.b), Index(np.frombuffer(row.ids, np.int64), np.frombuffer(row.vs, np.float64).reshape(-1, row.dim))
                 out = []
                 for qid, query in zip(np.frombuffer(row.qids, np.int64), np.frombuffer(row.qvs, np.float64).reshape(-1, row.dim), strict=True):
-                    at, scores = index.search(qid, query, k + 1, verify)
+                    at, scores = index.search(qid, query, k, confidence)
                     ids, scores = _best(index.ids[at], scores, k, index.n_ids < len(index.ids))
                     out.append((np.full(len(ids), qid), ids, scores))
                 q, i, s = map(np.concatenate, zip(*out, strict=True))
@@ -135,7 +168,7 @@ def dealt(vectors: DataFrame, parts: int) -> DataFrame:
     return vectors.withColumn("b", block).groupBy("dim", "b").applyInPandas(_pack, "dim int, b long, ids binary, vs binary")
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, verify: float = VERIFY) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by `every`, the k of largest inner product found among all others.
 
     Rows alike in id and vector count once, as queries and as candidates. Where an id has several vectors, each of them is a
@@ -144,8 +177,9 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, verify: float
     Further columns of embeddings, whatever their names, are not read.
 
     Vectors are dealt to blocks by a hash of id and components; each block sorts all its vectors by PROJECTIONS random projections,
-    and each query's windows in it grow (the virtual rehashing) until the share `verify` of the block fell into COLLISIONS of them; only
-    those are verified, exactly. A query block meets each block once; a block returns k rows a query. All vectors within a
+    and each query's windows in it grow (the virtual rehashing); vectors that fall into COLLISIONS of them are verified, exactly, and
+    the windows stop once one as near as the block's k-th best would have fallen into as many with the chance `confidence` (1: all are
+    verified). Vectors in clusters are pruned hard; where all are nearly as far as the k-th best, most are verified. A query block meets each block once; a block returns k rows a query. All vectors within a
     window's edge take part, so equal vectors are found together and ties go to the smaller id. Only vectors of the query's
     dimension are its candidates. Rows that share a query's id are not candidates of each other.
     """
@@ -155,7 +189,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, verify: float
     queries = dealt(base.filter(F.col("id") % every == 0), query_blocks).withColumnsRenamed({"b": "q", "ids": "qids", "vs": "qvs"})
     packs = dealt(base, blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
     pairs = packs.join(queries.hint("shuffle_hash"), ["dim", "q"]).repartition(blocks * (query_blocks // TURNS + 1), "dim", "b", F.expr(f"q div {TURNS}")).sortWithinPartitions("dim", "b")
-    found = pairs.select("dim", "b", "ids", "vs", "qids", "qvs").mapInPandas(_search(k, verify), "query_id long, vec_id long, score double")
+    found = pairs.select("dim", "b", "ids", "vs", "qids", "qvs").mapInPandas(_search(k, confidence), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
