@@ -67,7 +67,7 @@ def _share_and_recall(vectors, k=20):
         found = index.search(i, vectors[i], k)[0]
         scores = vectors @ vectors[i]
         scores[i] = -np.inf
-        shares.append(len(found) / len(ids))
+        shares.append(index.verified / len(ids))
         hits.append(len(set(np.argsort(-scores, kind="stable")[:k]) & set(found)) / k)
     return np.mean(shares), np.mean(hits)
 

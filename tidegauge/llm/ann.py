@@ -65,7 +65,7 @@ class Index:
         self.sorted = (np.take_along_axis(values, order, axis=1) / self.unit + self.shift[:, None]).ravel()
         self.n_ids = len(np.unique(ids))
         self.step = float(values.std()) or 1.0
-        self.level = 15
+        self.level, self.verified = 15, 0
 
     def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
         """For each vector, in how many sorted arrays it lies in the query's window."""
@@ -84,12 +84,12 @@ class Index:
         return None if len(own) < k else float(np.partition(own, len(own) - k)[len(own) - k])
 
     def search(self, qid: int, query: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and inner products of the vectors verified for the query; those of its own id are left out.
+        """Positions and inner products of the verified vectors that can be among the query's k best; those of its own id are left out.
 
         Level by level the windows widen by GROWTH, and with them the collisions grow; vectors that reach the threshold are
         verified. The windows are wide enough once a vector at the distance of the k-th best so far would reach the threshold with
         the chance `confidence`: nearer ones reach it more surely still. Wider windows only find more and nearer ones, so the
-        first such level is found by doubling steps, then bisection. How many are verified follows from the distances.
+        first such level is found by doubling steps, then bisection. How many are verified (`verified`) follows from the distances.
         """
         others = self.ids != qid
         need, n_others = int(np.ceil(COLLISIONS * PROJECTIONS)), int(others.sum())
@@ -120,6 +120,9 @@ class Index:
             low, high = (low, middle) if full(middle) else (middle, high)
         self.level = high
         found = np.flatnonzero(~np.isnan(likeness))
+        self.verified, best = len(found), self.kth(found, likeness, k)
+        if best is not None:
+            found = found[likeness[found] >= best - 1e-9 * self.length]  # far more than rounding: no equal score is lost
         with np.errstate(over="ignore", invalid="ignore"):
             return found, np.einsum("ij,j->i", self.vectors[found], query)
 
