@@ -106,3 +106,49 @@ def test_recall_of_links_just_above_the_threshold(spark):
     left = {r["doc_id"] for r in keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(3 * i + 2 not in left for i in range(300)) >= 0.9 * 300
     assert all(3 * i + 1 in left for i in range(300)) and all(i in left for i, _ in rows if i % 3 == 0)
+
+
+def test_no_link_is_lost_among_many_that_are_near_but_not_alike(spark):
+    """300 texts of one stock of words, near each other by prints, some pairs just above 0.8: groups are those of all verified links that meet at an anchor."""
+    import numpy as np
+
+    from tidegauge.llm import simhash
+
+    rng = random.Random(4)
+    stock = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(0, 300, 5), n):
+            words[at] = f"v{rng.randrange(10**6)}"
+        return words
+
+    bases = [changed(stock, 2) for _ in range(150)]
+    texts = [" ".join(changed(base, 3)) for base in bases for _ in range(2)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    prints = np.stack([simhash.wide_fingerprint(s, simhash.PRINTS) for s in sets])
+    first = prints[:, 0] & 0xFFFFFFFF
+    meet = {}
+    for number in range(simhash.PRINTS):
+        for pair in simhash.ALL_TABLES:
+            for i, home in enumerate(simhash.anchors(np.ascontiguousarray(prints[:, number]), pair, 0)[0]):
+                meet.setdefault((number, pair, int(home)), []).append(i)
+    near = set()
+    for group in meet.values():
+        own = [i for i in group if any(np.bitwise_count(first[i] ^ first[j]) <= simhash.apart_at_most(0.8, 32) for j in group if j != i)]
+        near |= {(i, j) for i in own for j in own if i < j and np.bitwise_count((prints[i] ^ prints[j])[: simhash.COMPARED].view(np.uint64)).sum() <= simhash.apart_at_most(0.8, 64 * simhash.COMPARED)}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = 0
+    for i, j in near:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            alike, root[max(find(i), find(j))] = alike + 1, min(find(i), find(j))
+    want = {find(i) for i in range(len(texts))}
+    left = {r["doc_id"] for r in simhash.keep_dissimilar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(near) > 20 * alike > 1000 and left == want, (len(near), alike, len(want), len(left - want), len(want - left))

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import free_name, whole_text
@@ -26,9 +26,10 @@ _CHUNK = 1 << 16
 #: The similarity join: least Jaccard similarity of two texts' shingle sets, 64-bit fingerprints of a text (each names an anchor in
 #: each pair of blocks), how many of them are compared where texts meet, and rows of an anchor that one task compares.
 SIMILARITY, PRINTS, COMPARED, CELL = 0.8, 48, 6, 50_000
-#: Standard deviations of a distance that the comparison allows for; nearest nodes that are linked to a node whose first link is doubtful.
-#: Up to SMALL nodes at an anchor all doubtful ones name them; of more, those of every fourth anchor, and half as many.
-ALLOWED, NEAREST, SMALL = 3.0, 4, 64
+#: Standard deviations of a distance that the comparison allows for.
+ALLOWED = 3.0
+#: Buckets of shingle hashes (their first nine bits) whose counts bound how many shingles two texts share.
+BUCKETS, BUCKET_SHIFT = 512, 55
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE):
@@ -320,16 +321,11 @@ def _shared(most: int):
     return run
 
 
-def _met(nodes: np.ndarray, prints: np.ndarray, most: int, sure: int, nearest: int = NEAREST):
-    """Links that connect what is within `most` bits among the nodes at one anchor, directly or by others, with distance -1: each node found
+def _met(prints: np.ndarray, most: int):
+    """Links (two places) that connect what is within `most` bits among the nodes at one anchor, directly or by others: each node found
     is compared with those not found yet, so a group of near copies costs little more than its size, and links are fewer than nodes.
-
-    A link of more than `sure` bits may turn out too weak. Its node then names the nearest nodes of all at the anchor too, with
-    their distance, so that what is alike stays connected without it.
     """
-    order = np.argsort(nodes, kind="stable")
-    nodes, prints = nodes[order], prints[order]
-    open_, found = np.arange(1, len(nodes)), []
+    open_, found = np.arange(1, len(prints)), []
     queue, at = [0], 0
     while len(open_):
         if at == len(queue):
@@ -338,62 +334,117 @@ def _met(nodes: np.ndarray, prints: np.ndarray, most: int, sure: int, nearest: i
         me = queue[at]
         at += 1
         if len(open_):
-            apart = np.bitwise_count(prints[open_] ^ prints[me]).sum(1, dtype=np.int32)
-            near = apart <= most
-            found.extend((nodes[me], nodes[x], -1) for x in open_[near])
-            for x in open_[near & (apart > sure)] if nearest else ():
-                others = np.bitwise_count(prints ^ prints[x]).sum(1, dtype=np.int32)
-                others[[x, me]] = most + 1
-                least = np.argsort(others, kind="stable")[:nearest]
-                found.extend((nodes[x], nodes[y], others[y]) for y in least[others[least] <= most])
+            near = np.bitwise_count(prints[open_] ^ prints[me]).sum(1, dtype=np.int32) <= most
+            found.extend((me, x) for x in open_[near])
             queue.extend(open_[near])
             open_ = open_[~near]
     return found
 
 
-def _compare_cells(most: int, sure: int):
-    """For rows in order of cell: the links of each cell, whatever batches cut it."""
+def _may_share(counts: np.ndarray, rest: np.ndarray, sizes: np.ndarray, me: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the others that may have `similarity` with me, by the sizes of their sets and the counts of their buckets.
+
+    Never fewer than there are: two sets share no more of a bucket than the lesser count, and of the shingles that counts of
+    255 leave out (rest) no more than the lesser number.
+    """
+    both = np.minimum(counts[others], counts[me]).sum(1, dtype=np.int64) + np.minimum(rest[others], rest[me])
+    return others[both >= similarity * (sizes[others] + sizes[me] - both)]
+
+
+def _still_apart(prints: np.ndarray, roots: np.ndarray, counts: np.ndarray, sizes: np.ndarray, most: int, similarity: float):
+    """All pairs (two places) of different roots among the nodes at one anchor that are within `most` bits and may be alike, each once."""
+    names, own = np.unique(roots, return_inverse=True)
+    largest = own == np.argmax(np.bincount(own, minlength=len(names)))  # it needs no row of its own: the others name its nodes
+    rest, found = sizes - counts.sum(1, dtype=np.int64), []
+    for me in np.flatnonzero(~largest):
+        others = np.flatnonzero((own != own[me]) & (largest | (np.arange(len(own)) > me)))
+        others = others[np.bitwise_count(prints[others] ^ prints[me]).sum(1, dtype=np.int32) <= most]
+        found.extend((me, x) for x in _may_share(counts, rest, sizes, me, others, similarity))
+    return found
+
+
+def _matrix(column, kind) -> np.ndarray:
+    """A row of numbers for each byte string of the column, all of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    def links_of(cell, nodes, prints):
+
+def _pairs_of_cells(pairs, columns: list[str]):
+    """For rows in order of cell: the columns of both rows of each pair that `pairs` finds in a cell's rows, whatever batches cut the cells."""
+
+    def work(table):
+        cell = table["cell"].to_numpy()
         cuts = np.flatnonzero(np.diff(cell)) + 1
-        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cell)]])
-        two = starts[stops - starts == 2]
-        near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(1, dtype=np.int32) <= most
-        out = [np.stack([nodes[two][near], nodes[two + 1][near], np.full(near.sum(), -1)], axis=1)]
-        for a, b in zip(starts, stops, strict=True):
-            # Large groups meet at many anchors: a quarter of those name nearest nodes.
-            nearest = NEAREST if b - a <= SMALL else NEAREST // 2 * (int(cell[a]) * 0x9E3779B1 >> 20 & 3 == 0)
-            if b - a > 2 and (found := _met(nodes[a:b], prints[a:b], most, sure, nearest)):
-                out.append(np.array(found, np.int64))
-        node, other, apart = np.ascontiguousarray(np.concatenate(out).T)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(apart)], ["node", "other", "apart"])
+        places = pairs(table, np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cell)]]))
+        found = [table[c].to_numpy()[places[:, side]] for side in (0, 1) for c in columns]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, found)), [*columns, *(f"other_{c}" for c in columns)])
 
     def run(batches):
         held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, nodes = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "node"))
-            held.append((cell, nodes, np.frombuffer(b"".join(batch["prints"].to_pylist()), np.uint64).reshape(batch.num_rows, -1)))
-            if cell[0] == cell[-1] and (len(held) == 1 or held[0][0][-1] == cell[0]):
+            held.append(batch)
+            last = batch["cell"][-1]
+            if held[0]["cell"][0] == last:
                 continue
-            cell, nodes, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            yield links_of(cell[:whole], nodes[:whole], prints[:whole])
-            held = [(cell[whole:], nodes[whole:], prints[whole:])]
+            table = pa.Table.from_batches(held)
+            whole = int(np.searchsorted(table["cell"].to_numpy(), last.as_py()))  # the last cell may go on in the next batch
+            yield work(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
         if held:
-            yield links_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
-def meetings(distinct: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED, cell_rows: int = CELL) -> DataFrame:
-    """a < b, each once: links between nodes that share an anchor and whose first `compared` fingerprints are near enough for `similarity`.
+def _together(found: list) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 2), np.int64), *found])
+
+
+def _trees(most: int):
+    """Links that connect each cell."""
+
+    def pairs(table, starts, stops):
+        prints = _matrix(table["prints"], np.uint64)
+        two = starts[stops - starts == 2]
+        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]).sum(1, dtype=np.int32) <= most]
+        found = [np.stack([two, two + 1], axis=1)]
+        for a, b in zip(starts, stops, strict=True):
+            if b - a > 2 and (met := _met(prints[a:b], most)):
+                found.append(np.array(met) + a)
+        return _together(found)
+
+    return _pairs_of_cells(pairs, ["node"])
+
+
+def _crossing(most: int, similarity: float):
+    """All pairs of each cell that may be alike and have different roots."""
+
+    def pairs(table, starts, stops):
+        prints, counts = _matrix(table["prints"], np.uint64), _matrix(table["counts"], np.uint8)
+        roots, sizes = table["root"].to_numpy(), table["size"].to_numpy()
+        found = []
+        for a, b in zip(starts, stops, strict=True):
+            if met := _still_apart(prints[a:b], roots[a:b], counts[a:b], sizes[a:b], most, similarity):
+                found.append(np.array(met) + a)
+        return _together(found)
 
-    distinct: node and prints. Rows of 16 bytes are dealt by anchor; those that meet none there, or by chance only, as half of their
-    first fingerprints tells, end there, and only the others fetch their fingerprints. Of the nearest nodes that doubtful links name,
-    a node keeps the nearest NEAREST of all anchors. What meets at an anchor is compared in one task; only links that connect it come out. An anchor of
-    more than cell_rows nodes is cut into parts, and each two of its parts make a cell, so that any two nodes still meet.
+    return _pairs_of_cells(pairs, ["node", "root"])
+
+
+def _prints(distinct: DataFrame, compared: int) -> DataFrame:
+    return distinct.select("node", F.substring("prints", 1, 8 * compared).alias("prints"))
+
+
+def _in_order(cells: DataFrame) -> DataFrame:
+    return cells.repartition("cell").sortWithinPartitions("cell", "node")
+
+
+def meeting_cells(distinct: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL) -> DataFrame:
+    """cell and node: the nodes at each anchor where two or more meet, other than by chance as half of their first fingerprints tells.
+
+    distinct: node and prints. Rows of 16 bytes are dealt by anchor. An anchor of more than cell_rows nodes is cut into parts, and
+    each two of its parts make a cell, so that any two nodes still meet.
     """
     rows = distinct.select("node", "prints").mapInArrow(_at_anchors, "key long, node long")
     rows = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
@@ -401,37 +452,74 @@ def meetings(distinct: DataFrame, similarity: float = SIMILARITY, compared: int
     counts = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     hot = cut(counts.select("anchor", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
     if hot.isEmpty():
-        cells = rows.withColumnRenamed("anchor", "cell")
-    else:
-        own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.coalesce("parts", F.lit(1))
-        split = rows.join(hot, "anchor", "left").withColumn("parts", parts).withColumn("own", own)
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cells = split.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
-    cells = cells.join(distinct.select("node", F.substring("prints", 1, 8 * compared).alias("prints")), "node").select("cell", "node", "prints")
-    bounds = (apart_at_most(similarity, 64 * compared, x) for x in (ALLOWED, -ALLOWED))
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_cells(*bounds), "node long, other long, apart long").distinct()
-    nearest = F.row_number().over(Window.partitionBy("node", F.col("apart") < 0).orderBy("apart", "other"))
-    found = found.withColumn("place_", nearest).filter((F.col("apart") < 0) | (F.col("place_") <= NEAREST))
-    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        return rows.withColumnRenamed("anchor", "cell")
+    own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.coalesce("parts", F.lit(1))
+    split = rows.join(hot, "anchor", "left").withColumn("parts", parts).withColumn("own", own)
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return split.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
+
+
+def meetings(distinct: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED, cell_rows: int = CELL, cells: DataFrame | None = None) -> DataFrame:
+    """a < b, each once: links between nodes that share an anchor and whose first `compared` fingerprints are near enough for `similarity`.
+
+    cells: those of meeting_cells(), made here if not given. What meets in a cell is compared in one task; only links that connect
+    it come out, so a link may be missing where others connect its nodes.
+    """
+    cells = meeting_cells(distinct, similarity, cell_rows) if cells is None else cells
+    rows = cells.join(_prints(distinct, compared), "node").select("cell", "node", "prints")
+    found = _in_order(rows).mapInArrow(_trees(apart_at_most(similarity, 64 * compared)), "node long, other_node long")
+    return found.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
+def crossings(cells: DataFrame, distinct: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
+    """a < b, root_a and root_b, each once: all pairs that meetings() would link, directly or by others, whose roots differ and that may
+    have `similarity`, as the sizes of their sets and the counts of their buckets tell.
+
+    sets: node, size and counts of all nodes of meetings(); roots: node and root. No pair is left out for the number of its nodes'
+    others. Only cells with three nodes and two roots are looked at: in a smaller one meetings() has named the only pair.
+    """
+    full = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2).select("cell")
+    rooted = sets.select("node", "size", "counts").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cells.join(full, "cell", "left_semi").join(rooted.select("node", "root"), "node")
+    rows = cut(rows.select("cell", "node", "root"))
+    mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high")).select("cell")
+    nodes = rooted.select("node", "size", "counts").join(_prints(distinct, compared), "node")
+    rows = rows.join(mixed, "cell", "left_semi").join(nodes, "node").select("cell", "node", "root", "size", "counts", "prints")
+    kind = "node long, root long, other_node long, other_root long"
+    found = _in_order(rows).mapInArrow(_crossing(apart_at_most(similarity, 64 * compared), similarity), kind)
+    ends = (F.struct("node", "root"), F.struct(F.col("other_node").alias("node"), F.col("other_root").alias("root")))
+    found = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    return found.select(*(F.col(f"{x}.{y}").alias(z) for x, y, z in (("a", "node", "a"), ("b", "node", "b"), ("a", "root", "root_a"), ("b", "root", "root_b"))))
 
 
 def _sets(shingle: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x or "", shingle).view(np.int64) for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_set(x or "", shingle) for x in batch["text"].to_pylist()]
+            counts = [np.minimum(np.bincount((x >> np.uint64(BUCKET_SHIFT)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in sets]
+            columns = [batch["node"], pa.array(map(len, sets), pa.int64()), pa.array(counts, pa.binary()), pa.array([x.view(np.int64).tolist() for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "counts", "shingles"])
 
     return run
 
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    named = sets.select("node", "shingles")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(named.toDF("a", "sa"), "a").join(named.toDF("b", "sb"), "b").withColumn("both", both)
+    return found.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select(*pairs.columns)
+
+
 def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
     """docs with one row of each group of similar texts left: that of the least doc_id, null being the largest.
 
     Two texts are linked if their shingle sets have a Jaccard similarity of `similarity` or more and they meet: each text has
     `prints` SimHash fingerprints, each of which is sent to its anchor (the codeword within the covering radius) in each pair of
     blocks. A pair of similarity 0.8 shares one of the 144 anchors in about 9 cases of 10, one of 0.9 nearly always; texts of equal
-    shingle sets are one node. Links found at the anchors are held against the shingle sets, exactly, before they count;
-    groups are what verified links connect. Texts without words are alike. Of rows that share the kept doc_id the one whose text
+    shingle sets are one node. Links that connect what meets at the anchors are held against the shingle sets, exactly, before they
+    count. Where some of them fail, all pairs that meet there and are not in one group yet are held against the sets too, but for
+    those that the counts of their shingles rule out: groups are what verified links connect, and no link found is lost. Texts without words are alike. Of rows that share the kept doc_id the one whose text
     has the least hash stays, of rows alike in both the least in its other columns. An empty table gives an empty one.
     """
     key = free_name(docs, "text_key_")
@@ -439,16 +527,17 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     marked = cut(keyed.mapInArrow(_wide(shingle, prints), "doc_id long, key long, node long, prints binary"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     distinct = cut(marked.groupBy("node").agg(F.first("prints").alias("prints"), best))
-    met = cut(meetings(distinct, similarity))
+    cells = meeting_cells(distinct, similarity)
+    met = cut(meetings(distinct, similarity, cells=cells))
     linked = met.select("a").union(met.select("b")).distinct().toDF("node")
     texts = distinct.join(linked, "node").select("node", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
     whole = keyed.join(texts, keyed["doc_id"].eqNullSafe(texts["best_id"]) & (keyed["key"] == texts["best_key"])).dropDuplicates(["node"])
-    sets = cut(whole.select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
-    pairs = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.withColumn("both", both).filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-    roots = connected(alike)
-    heads = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    sets = cut(whole.select("node", "text").mapInArrow(_sets(shingle), "node long, size long, counts binary, shingles array<long>"))
+    roots = connected(_alike(met, sets, similarity))
+    across = crossings(cells, distinct, sets, roots, similarity).join(met, ["a", "b"], "left_anti")
+    further = connected(_alike(across, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    found = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("near"), "best").join(further.toDF("near", "root"), "near", "left")
+    heads = found.groupBy(F.coalesce("root", "near").alias("root")).agg(F.min("best").alias("best"))
     return _rows_of(docs, key, heads)
 
 
