@@ -191,6 +191,15 @@ def test_pieces_decode_and_follow_the_library(spark, documents, odd_documents, n
     assert len(odd) == odd_documents.count() and all(r["lossless"] for r in odd) and pieces.encode(no_documents).count() == 0
 
 
+def test_remembered_strings_take_four_bytes_a_piece():
+    own = pieces.Pieces(pieces.vocabulary_path())
+    for text in ("plain words, and plain words", "漢字 " + "x" * 70 + " 🙂", "a▁b"):
+        ids = own.encode(text, pieces.DROPOUT, 1)
+        assert own.encode_packed(text, pieces.DROPOUT, 1) == np.array(ids, np.int32).tobytes() and own.decode(ids) == text
+    seen = own.seen[pieces.DROPOUT, 1, pieces.SEED]
+    assert seen["▁plain"] == own._string("▁plain", (pieces.DROPOUT, 1, pieces.SEED)) and all(isinstance(x, bytes) for x in seen.values())
+
+
 def test_dropout_equals_a_plain_agenda(documents):
     """Whole texts, uncut: while any neighbouring pair is a piece whose merge type the variant doesn't skip, the best-scored, leftmost one is merged."""
     own = pieces.pieces(pieces.vocabulary_path())

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 from math import inf
 from operator import add
 
@@ -21,8 +22,8 @@ from tidegauge.llm.common import whole_text
 NAME = "piece_bpe_32k.model"
 #: Share of merge types that a variant skips, number of variants, and the seed of the keyed hashes.
 DROPOUT, VARIANTS, SEED = 0.1, 4, 20_240_601
-#: Distinct strings that a worker remembers for each variant before it starts anew.
-MEMORY = 150_000
+#: Distinct strings that a worker remembers for each variant, with their pieces in four bytes each, before it starts anew.
+MEMORY = 250_000
 #: Characters of a string whose agenda is a plain list.
 SHORT = 40
 SPACE = "▁"
@@ -59,11 +60,12 @@ class Pieces:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
                 self.ids[piece], self.rank[piece] = i, -model.get_score(i)
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.packed = {p: i.to_bytes(4, sys.byteorder) for p, i in self.ids.items()}
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space mark inside: texts can't be cut at them")
         self.strings = borders(self.ids).findall
-        self.seen: dict[tuple, dict[str, list[int]]] = {}
+        self.seen: dict[tuple, dict[str, bytes]] = {}
         self.skipped: dict[tuple, dict[tuple, bool]] = {}
 
     def _skips(self, key: tuple, merged: str, left: str, skipped: dict[tuple, bool]) -> bool:
@@ -79,15 +81,18 @@ class Pieces:
     def _merged_short(self, string: str, key: tuple) -> list[str]:
         """merged() for a short string: the agenda is a list with a place for each neighbouring pair."""
         rank, dropout, skipped = self.rank.get, key[0], self.skipped.setdefault(key, {})
+        known = skipped.get
         parts = list(string)
         agenda = list(map(rank, map(add, parts, parts[1:]), repeat(inf)))
         while agenda and (best := min(agenda)) < inf:
             i = agenda.index(best)
             left = parts[i]
             whole = left + parts[i + 1]
-            if dropout and self._skips(key, whole, left, skipped):
-                agenda[i] = inf
-                continue
+            if dropout:
+                skips = known((whole, len(left)))
+                if self._skips(key, whole, left, skipped) if skips is None else skips:
+                    agenda[i] = inf
+                    continue
             parts[i] = whole
             del parts[i + 1], agenda[i]
             if i < len(agenda):
@@ -124,36 +129,41 @@ class Pieces:
                 heapq.heappush(agenda, (rank[p], h, p))
         return [p for p in parts if p is not None]
 
-    def _string(self, string: str, key: tuple) -> list[int]:
+    def _string(self, string: str, key: tuple) -> bytes:
         parts = self.merged(string, key)
-        out = list(map(self.ids.get, parts))
-        if None in out:
-            out = [i for p in parts for i in ([self.ids[p]] if p in self.ids else (self.bytes[b] for b in p.encode()))]
-        return out
+        try:
+            return b"".join(map(self.packed.__getitem__, parts))
+        except KeyError:
+            return b"".join(self.packed[p] if p in self.packed else self._bytes(p) for p in parts)
 
-    def encode(self, text: str, dropout: float = 0.0, variant: int = 0, seed: int = SEED) -> list[int]:
-        """Ids of the text's pieces. A space mark that the text itself holds goes to bytes, so that it comes back as it was."""
+    def _bytes(self, part: str) -> bytes:
+        return b"".join(self.bytes[b].to_bytes(4, sys.byteorder) for b in part.encode())
+
+    def encode_packed(self, text: str, dropout: float = 0.0, variant: int = 0, seed: int = SEED) -> bytes:
+        """encode() as the bytes of 32-bit ids."""
         if not text:
-            return []
+            return b""
         key = (dropout, variant, seed)
         seen = self.seen.setdefault(key, {})
         if len(seen) >= MEMORY:
             seen.clear()
-        out: list[int] = []
-        mark = [self.bytes[b] for b in SPACE.encode()]
+        out: list[bytes] = []
         for k, part in enumerate(text.split(SPACE)):
             marked = part.replace(" ", SPACE)
             if k:
-                out.extend(mark)
+                out.append(self._bytes(SPACE))
             else:
                 marked = SPACE + marked
             strings = self.strings(marked)
             long = {}
             for string in set(strings).difference(seen):
                 (seen if len(string) < 64 else long)[string] = self._string(string, key)
-            found = map((seen | long if long else seen).__getitem__, strings)
-            out.extend(chain.from_iterable(found))
-        return out
+            out.extend(map(seen.__getitem__, strings) if not long else (long[x] if x in long else seen[x] for x in strings))
+        return b"".join(out)
+
+    def encode(self, text: str, dropout: float = 0.0, variant: int = 0, seed: int = SEED) -> list[int]:
+        """Ids of the text's pieces. A space mark that the text itself holds goes to bytes, so that it comes back as it was."""
+        return np.frombuffer(self.encode_packed(text, dropout, variant, seed), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text that encode() got, character for character."""
@@ -172,11 +182,12 @@ def _encode(name: str, dropout: float, variants: int, seed: int):
         for batch in batches:
             columns = {c: batch[c] for c in batch.schema.names}
             texts = columns.pop("text_").to_pylist()
-            ids = [own.encode(t, dropout, v, seed) for t, v in zip(texts, columns["variant"].to_pylist(), strict=True)]
-            columns["n_pieces"] = pa.array(map(len, ids), pa.int64())
-            columns["lossless"] = pa.array([own.decode(i) == t for i, t in zip(ids, texts, strict=True)])
-            ends = np.cumsum([0, *map(len, ids)])
-            columns["pieces"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
+            packed = [own.encode_packed(t, dropout, v, seed) for t, v in zip(texts, columns["variant"].to_pylist(), strict=True)]
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            columns["n_pieces"] = pa.array(np.diff(ends), pa.int64())
+            columns["lossless"] = pa.array([own.decode(ids[a:b].tolist()) == t for a, b, t in zip(ends, ends[1:], texts, strict=False)], pa.bool_())
+            columns["pieces"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
