@@ -152,3 +152,27 @@ def test_no_link_is_lost_among_many_that_are_near_but_not_alike(spark):
     want = {find(i) for i in range(len(texts))}
     left = {r["doc_id"] for r in simhash.keep_dissimilar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(near) > 20 * alike > 1000 and left == want, (len(near), alike, len(want), len(left - want), len(want - left))
+
+
+def test_a_group_of_near_copies_does_not_meet_again_at_each_anchor(spark, monkeypatch):
+    """200 near copies and 40 texts that are near them but not alike: the rows that are dealt to be compared stay few for each of them."""
+    from tidegauge.llm import simhash
+
+    rng, dealt, in_order = random.Random(7), [], simhash._in_order
+
+    def counted(rows):
+        dealt.append(rows.count())
+        return in_order(rows)
+
+    def changed(n):
+        words = list(stock)
+        for at in rng.sample(range(0, 300, 5), n):
+            words[at] = f"v{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    monkeypatch.setattr(simhash, "_in_order", counted)
+    stock = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [changed(2) for _ in range(200)] + [changed(10) for _ in range(40)]
+    left = {r["doc_id"] for r in simhash.keep_dissimilar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert left == {0, *range(200, 240)}
+    assert sum(dealt) < 30 * len(texts), dealt

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import free_name, whole_text
-from tidegauge.session import cut
+from tidegauge.session import cut, scratch
 
 #: Words in a shingle, seed of the shingles' hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -26,6 +26,8 @@ _CHUNK = 1 << 16
 #: The similarity join: least Jaccard similarity of two texts' shingle sets, 64-bit fingerprints of a text (each names an anchor in
 #: each pair of blocks), how many of them are compared where texts meet, and rows of an anchor that one task compares.
 SIMILARITY, PRINTS, COMPARED, CELL = 0.8, 48, 6, 50_000
+#: Fingerprints whose anchors are looked at before the others', so that nodes that they have brought together don't meet again.
+EARLY = 6
 #: Standard deviations of a distance that the comparison allows for.
 ALLOWED = 3.0
 #: Buckets of shingle hashes (their first nine bits) whose counts bound how many shingles two texts share.
@@ -280,42 +282,51 @@ def apart_at_most(similarity: float, bits: int, more: float = ALLOWED) -> int:
     return int(bits * share + more * (bits * share * (1 - share)) ** 0.5)
 
 
-def _at_anchors(batches):
-    """Rows key, node: each node at its home anchor in each pair of blocks of each of its fingerprints. key: the anchor, then 32 bits of the first fingerprint."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fp = np.frombuffer(b"".join(batch["prints"].to_pylist()), np.int64).reshape(batch.num_rows, -1)
-        first = fp[:, 0] & 0xFFFFFFFF
-        for number in range(fp.shape[1]):
-            for table, pair in enumerate(ALL_TABLES):
-                home, _, _ = anchors(np.ascontiguousarray(fp[:, number]), pair, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((home | (number * len(ALL_TABLES) + table) << 24) << 32 | first), batch["node"]], ["key", "node"])
+def _at_anchors(part: slice):
+    """Rows key, node, family: each node at its home anchor in each pair of blocks of each of its fingerprints in the part. key: the anchor, then 32 bits of the first fingerprint."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(batch["prints"].to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            first = fp[:, 0] & 0xFFFFFFFF
+            for number in range(fp.shape[1])[part]:
+                for table, pair in enumerate(ALL_TABLES):
+                    home, _, _ = anchors(np.ascontiguousarray(fp[:, number]), pair, 0)
+                    key = pa.array((home | (number * len(ALL_TABLES) + table) << 24) << 32 | first)
+                    yield pa.RecordBatch.from_arrays([key, batch["node"], batch["family"]], ["key", "node", "family"])
+
+    return run
 
 
 def _shared(most: int):
-    """anchor and node: of rows in order of key those that meet another at their anchor whose bits of the first fingerprint differ in `most` places at most, whatever batches cut the order."""
+    """anchor and node: of rows in order of key those that meet one of another family at their anchor whose bits of the first fingerprint differ in `most` places at most, whatever batches cut the order. Family 0: a node by itself."""
 
-    def kept(key, node):
+    def kept(key, node, family):
         anchor, first = key >> 32, (key & 0xFFFFFFFF).view(np.uint64)
+        family = np.where(family == 0, node, family)
         starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
         stops = np.append(starts[1:], len(anchor))[: len(starts)]
         keep = np.zeros(len(anchor), bool)
         two = starts[stops - starts == 2]
-        near = two[np.bitwise_count(first[two] ^ first[two + 1]) <= most]
+        near = two[(np.bitwise_count(first[two] ^ first[two + 1]) <= most) & (family[two] != family[two + 1])]
         keep[near], keep[near + 1] = True, True
         for a, b in zip(starts[stops - starts > 2], stops[stops - starts > 2], strict=True):
+            if (family[a:b] == family[a]).all():
+                continue
             for i in range(a, b):
-                keep[i] = keep[i] or (np.bitwise_count(first[a:b] ^ first[i]) <= most).sum() > 1
+                keep[i] = ((np.bitwise_count(first[a:b] ^ first[i]) <= most) & (family[a:b] != family[i])).any()
         return pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(node[keep])], ["anchor", "node"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 2
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key, node = (np.concatenate([h, batch[c].to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "node"), strict=True))
+            columns = [np.concatenate([h, batch[c].to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "node", "family"), strict=True)]
+            key = columns[0]
             whole = int(np.searchsorted(key, key[-1] >> 32 << 32)) if len(key) else 0  # the last anchor may go on in the next batch
-            held = [key[whole:], node[whole:]]
-            yield kept(key[:whole], node[:whole])
+            held = [c[whole:] for c in columns]
+            yield kept(*(c[:whole] for c in columns))
         yield kept(*held)
 
     return run
@@ -341,25 +352,33 @@ def _met(prints: np.ndarray, most: int):
     return found
 
 
-def _may_share(counts: np.ndarray, rest: np.ndarray, sizes: np.ndarray, me: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Those of the others that may have `similarity` with me, by the sizes of their sets and the counts of their buckets.
+def _may_share(counts: np.ndarray, rest: np.ndarray, sizes: np.ndarray, me: int, others: np.ndarray, similarity: float):
+    """Those of the others that may have `similarity` with me, by the sizes of their sets and the counts of their buckets; and the most they may have.
 
     Never fewer than there are: two sets share no more of a bucket than the lesser count, and of the shingles that counts of
     255 leave out (rest) no more than the lesser number.
     """
     both = np.minimum(counts[others], counts[me]).sum(1, dtype=np.int64) + np.minimum(rest[others], rest[me])
-    return others[both >= similarity * (sizes[others] + sizes[me] - both)]
+    union = sizes[others] + sizes[me] - both
+    may = both >= similarity * union
+    return others[may], both[may] / np.maximum(union[may], 1)
 
 
-def _still_apart(prints: np.ndarray, roots: np.ndarray, counts: np.ndarray, sizes: np.ndarray, most: int, similarity: float):
-    """All pairs (two places) of different roots among the nodes at one anchor that are within `most` bits and may be alike, each once."""
+def _still_apart(prints: np.ndarray, homes: np.ndarray, roots: np.ndarray, counts: np.ndarray, sizes: np.ndarray, most: int, similarity: float, likeliest: bool):
+    """All pairs (two places) of different roots among the nodes of a cell that share a home, are within `most` bits and may be alike, each once.
+
+    likeliest: of each node's pairs only the one that may be most alike, for a first round.
+    """
     names, own = np.unique(roots, return_inverse=True)
     largest = own == np.argmax(np.bincount(own, minlength=len(names)))  # it needs no row of its own: the others name its nodes
     rest, found = sizes - counts.sum(1, dtype=np.int64), []
     for me in np.flatnonzero(~largest):
-        others = np.flatnonzero((own != own[me]) & (largest | (np.arange(len(own)) > me)))
+        others = np.flatnonzero((own != own[me]) & (largest | likeliest | (np.arange(len(own)) > me)))
         others = others[np.bitwise_count(prints[others] ^ prints[me]).sum(1, dtype=np.int32) <= most]
-        found.extend((me, x) for x in _may_share(counts, rest, sizes, me, others, similarity))
+        others, share = _may_share(counts, rest, sizes, me, others, similarity)
+        meet = (homes[others] == homes[me]).any(1)
+        others, share = others[meet], share[meet]
+        found.extend((me, x) for x in (others[[np.argmax(share)]] if likeliest and len(others) else others))
     return found
 
 
@@ -417,19 +436,22 @@ def _trees(most: int):
     return _pairs_of_cells(pairs, ["node"])
 
 
-def _crossing(most: int, similarity: float):
-    """All pairs of each cell that may be alike and have different roots."""
+def _crossing(compared: int, similarity: float, likeliest: bool):
+    """Pairs of each cell that meet at an anchor, may be alike and have different roots."""
+    most = apart_at_most(similarity, 64 * compared)
 
     def pairs(table, starts, stops):
         prints, counts = _matrix(table["prints"], np.uint64), _matrix(table["counts"], np.uint8)
+        homes = [anchors(np.ascontiguousarray(fp), pair, 0)[0].astype(np.int32) for fp in prints.T for pair in ALL_TABLES]
+        homes, prints = np.stack(homes, axis=1), np.ascontiguousarray(prints[:, :compared])
         roots, sizes = table["root"].to_numpy(), table["size"].to_numpy()
         found = []
         for a, b in zip(starts, stops, strict=True):
-            if met := _still_apart(prints[a:b], roots[a:b], counts[a:b], sizes[a:b], most, similarity):
+            if met := _still_apart(prints[a:b], homes[a:b], roots[a:b], counts[a:b], sizes[a:b], most, similarity, likeliest):
                 found.append(np.array(met) + a)
         return _together(found)
 
-    return _pairs_of_cells(pairs, ["node", "root"])
+    return _pairs_of_cells(pairs, ["node"])
 
 
 def _prints(distinct: DataFrame, compared: int) -> DataFrame:
@@ -440,15 +462,9 @@ def _in_order(cells: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "node")
 
 
-def meeting_cells(distinct: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL) -> DataFrame:
-    """cell and node: the nodes at each anchor where two or more meet, other than by chance as half of their first fingerprints tells.
-
-    distinct: node and prints. Rows of 16 bytes are dealt by anchor. An anchor of more than cell_rows nodes is cut into parts, and
-    each two of its parts make a cell, so that any two nodes still meet.
-    """
-    rows = distinct.select("node", "prints").mapInArrow(_at_anchors, "key long, node long")
-    rows = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-    rows = cut(rows.mapInArrow(_shared(apart_at_most(similarity, 32)), "anchor long, node long"))
+def _parted(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows with `anchor` turned into `cell`: an anchor of more than cell_rows rows is cut into parts, and each two of its parts make a
+    cell, so that any two of its nodes still meet."""
     counts = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     hot = cut(counts.select("anchor", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
     if hot.isEmpty():
@@ -456,40 +472,71 @@ def meeting_cells(distinct: DataFrame, similarity: float = SIMILARITY, cell_rows
     own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.coalesce("parts", F.lit(1))
     split = rows.join(hot, "anchor", "left").withColumn("parts", parts).withColumn("own", own)
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return split.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
+    cell = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
+    return split.select(cell, *(c for c in rows.columns if c != "anchor"))
+
+
+def meeting_cells(nodes: DataFrame, part: slice, similarity: float = SIMILARITY, cell_rows: int = CELL) -> DataFrame:
+    """cell and node: the nodes at each anchor of the part's fingerprints where two or more of different families meet, other than by
+    chance as half of their first fingerprints tells.
 
+    nodes: node, prints and family. Rows of 24 bytes are dealt by anchor; families are 0 for most nodes.
+    """
+    rows = nodes.select("node", "prints", "family").mapInArrow(_at_anchors(part), "key long, node long, family long")
+    rows = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+    return _parted(cut(rows.mapInArrow(_shared(apart_at_most(similarity, 32)), "anchor long, node long")), cell_rows)
+
+
+def gathered(edges: DataFrame) -> DataFrame:
+    """connected(), once each node's links have been drawn to its least neighbour: the many links of a dense group fall together before the rounds begin."""
+    ends = edges.union(edges.select("b", "a")).toDF("node", "next")
+    least = cut(ends.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("near")))
+    fewer = edges.join(least.toDF("a", "low"), "a").join(least.toDF("b", "high"), "b").filter(F.col("low") != F.col("high"))
+    fewer = cut(fewer.select(F.least("low", "high").alias("a"), F.greatest("low", "high").alias("b")).distinct())
+    roots = connected(fewer).toDF("near", "root")
+    return cut(least.join(roots, "near", "left").select("node", F.coalesce("root", "near").alias("root")))
 
-def meetings(distinct: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED, cell_rows: int = CELL, cells: DataFrame | None = None) -> DataFrame:
+
+def meetings(distinct: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED, cell_rows: int = CELL) -> DataFrame:
     """a < b, each once: links between nodes that share an anchor and whose first `compared` fingerprints are near enough for `similarity`.
 
-    cells: those of meeting_cells(), made here if not given. What meets in a cell is compared in one task; only links that connect
-    it come out, so a link may be missing where others connect its nodes.
+    What meets in a cell is compared in one task; only links that connect it come out, so a link may be missing where others
+    connect its nodes. The anchors of EARLY fingerprints come first: what their links connect is a family, and at the others' anchors
+    only nodes of different families are compared, so that a group of near copies doesn't come again at each of them.
     """
-    cells = meeting_cells(distinct, similarity, cell_rows) if cells is None else cells
-    rows = cells.join(_prints(distinct, compared), "node").select("cell", "node", "prints")
-    found = _in_order(rows).mapInArrow(_trees(apart_at_most(similarity, 64 * compared)), "node long, other_node long")
-    return found.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+    def found(families: DataFrame, part: slice) -> DataFrame:
+        cells = meeting_cells(families, part, similarity, cell_rows)
+        rows = cells.join(_prints(distinct, compared), "node").select("cell", "node", "prints")
+        links = _in_order(rows).mapInArrow(_trees(apart_at_most(similarity, 64 * compared)), "node long, other_node long")
+        return cut(links.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct())
+
+    early = found(distinct.select("node", "prints", F.lit(0).cast("long").alias("family")), slice(EARLY))
+    families = distinct.join(gathered(early), "node", "left").withColumn("family", F.coalesce("root", F.lit(0)))
+    return early.union(found(families, slice(EARLY, None))).distinct()
 
 
-def crossings(cells: DataFrame, distinct: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
-    """a < b, root_a and root_b, each once: all pairs that meetings() would link, directly or by others, whose roots differ and that may
-    have `similarity`, as the sizes of their sets and the counts of their buckets tell.
+def families_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """anchor and node: the nodes that links of `met` connect, directly or by others, where they have several roots; anchor names them.
 
-    sets: node, size and counts of all nodes of meetings(); roots: node and root. No pair is left out for the number of its nodes'
-    others. Only cells with three nodes and two roots are looked at: in a smaller one meetings() has named the only pair.
+    roots: node and root of all nodes of met. Links of one root and families of two nodes, whose only pair is in met, are left out.
     """
-    full = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2).select("cell")
-    rooted = sets.select("node", "size", "counts").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cells.join(full, "cell", "left_semi").join(rooted.select("node", "root"), "node")
-    rows = cut(rows.select("cell", "node", "root"))
-    mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") < F.col("high")).select("cell")
-    nodes = rooted.select("node", "size", "counts").join(_prints(distinct, compared), "node")
-    rows = rows.join(mixed, "cell", "left_semi").join(nodes, "node").select("cell", "node", "root", "size", "counts", "prints")
-    kind = "node long, root long, other_node long, other_root long"
-    found = _in_order(rows).mapInArrow(_crossing(apart_at_most(similarity, 64 * compared), similarity), kind)
-    ends = (F.struct("node", "root"), F.struct(F.col("other_node").alias("node"), F.col("other_root").alias("root")))
-    found = found.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
-    return found.select(*(F.col(f"{x}.{y}").alias(z) for x, y, z in (("a", "node", "a"), ("b", "node", "b"), ("a", "root", "root_a"), ("b", "root", "root_b"))))
+    apart = met.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").filter(F.col("root_a") != F.col("root_b"))
+    joined = gathered(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    rows = cut(roots.join(joined.toDF("root", "anchor"), "root").select("anchor", "node"))
+    return rows.join(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 2).select("anchor"), "anchor", "left_semi")
+
+
+def crossings(cells: DataFrame, details: DataFrame, roots: DataFrame, similarity: float, compared: int, likeliest: bool) -> DataFrame:
+    """a < b, each once: all pairs of a cell's nodes whose roots differ, that share an anchor, whose first `compared` fingerprints
+    are near enough for `similarity` and that may have it, as the sizes of their sets and the counts of their buckets tell.
+
+    details: node, size, counts and prints of all nodes of the cells; roots: node and root. No pair is left out for the number of
+    its nodes' others, but with likeliest each node names the one pair that may be most alike.
+    """
+    rows = cells.join(details.join(roots, "node"), "node")
+    found = _in_order(rows).mapInArrow(_crossing(compared, similarity, likeliest), "node long, other_node long")
+    return found.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
 def _sets(shingle: int):
@@ -511,6 +558,15 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found.filter(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select(*pairs.columns)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again. A checkpoint() would keep what the optimizer has inferred of df's columns, which
+    multiplies with each join and union of the same links: planning took minutes."""
+    spark = df.sparkSession
+    folder = scratch(spark, "links")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
     """docs with one row of each group of similar texts left: that of the least doc_id, null being the largest.
 
@@ -518,8 +574,9 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     `prints` SimHash fingerprints, each of which is sent to its anchor (the codeword within the covering radius) in each pair of
     blocks. A pair of similarity 0.8 shares one of the 144 anchors in about 9 cases of 10, one of 0.9 nearly always; texts of equal
     shingle sets are one node. Links that connect what meets at the anchors are held against the shingle sets, exactly, before they
-    count. Where some of them fail, all pairs that meet there and are not in one group yet are held against the sets too, but for
-    those that the counts of their shingles rule out: groups are what verified links connect, and no link found is lost. Texts without words are alike. Of rows that share the kept doc_id the one whose text
+    count. Where some of them fail, all pairs that meet among the nodes that links connect, directly or by others, are held against
+    the sets too if they are not in one group yet, but for those that the counts of their shingles rule out; the likeliest come
+    first, which leaves few. Groups are what verified links connect, and no link found is lost. Texts without words are alike. Of rows that share the kept doc_id the one whose text
     has the least hash stays, of rows alike in both the least in its other columns. An empty table gives an empty one.
     """
     key = free_name(docs, "text_key_")
@@ -527,17 +584,24 @@ def keep_dissimilar(docs: DataFrame, shingle: int = 5, similarity: float = SIMIL
     marked = cut(keyed.mapInArrow(_wide(shingle, prints), "doc_id long, key long, node long, prints binary"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     distinct = cut(marked.groupBy("node").agg(F.first("prints").alias("prints"), best))
-    cells = meeting_cells(distinct, similarity)
-    met = cut(meetings(distinct, similarity, cells=cells))
+    met = _stored(meetings(distinct, similarity))
     linked = met.select("a").union(met.select("b")).distinct().toDF("node")
     texts = distinct.join(linked, "node").select("node", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
     whole = keyed.join(texts, keyed["doc_id"].eqNullSafe(texts["best_id"]) & (keyed["key"] == texts["best_key"])).dropDuplicates(["node"])
     sets = cut(whole.select("node", "text").mapInArrow(_sets(shingle), "node long, size long, counts binary, shingles array<long>"))
-    roots = connected(_alike(met, sets, similarity))
-    across = crossings(cells, distinct, sets, roots, similarity).join(met, ["a", "b"], "left_anti")
-    further = connected(_alike(across, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-    found = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("near"), "best").join(further.toDF("near", "root"), "near", "left")
-    heads = found.groupBy(F.coalesce("root", "near").alias("root")).agg(F.min("best").alias("best"))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return _stored(sets.select("node").join(gathered(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    links = _stored(_alike(met, sets, similarity))
+    roots, tried = rooted(links), met
+    cells = cut(_parted(families_apart(met, roots), CELL))
+    details = cut(sets.select("node", "size", "counts").join(distinct.select("node", "prints"), "node"))
+    for likeliest in (True, False):
+        across = _stored(crossings(cells, details, roots, similarity, COMPARED, likeliest).join(tried, ["a", "b"], "left_anti"))
+        links, tried = _stored(links.union(_alike(across, sets, similarity))), tried.union(across)
+        roots = rooted(links)
+    heads = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return _rows_of(docs, key, heads)
 
 
