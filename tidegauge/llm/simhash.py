@@ -522,7 +522,7 @@ def families_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     roots: node and root of all nodes of met. Links of one root and families of two nodes, whose only pair is in met, are left out.
     """
     apart = met.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").filter(F.col("root_a") != F.col("root_b"))
-    joined = gathered(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    joined = gathered(cut(apart.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()))
     rows = cut(roots.join(joined.toDF("root", "anchor"), "root").select("anchor", "node"))
     return rows.join(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 2).select("anchor"), "anchor", "left_semi")
 
